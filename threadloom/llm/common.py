@@ -37,6 +37,14 @@ def stage(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(staged: DataFrame) -> None:
+    """Frees the space of a staged table that nothing reads any more, by writing an empty one in its place."""
+    path = staged.inputFiles()[0].rsplit("/", 1)[0] if staged.inputFiles() else None
+    if path:
+        spark = staged.sparkSession
+        spark.createDataFrame([], staged.schema).write.mode("overwrite").parquet(path)
+
+
 def spans(text: Column, pattern: str, group: int = 0) -> Column:
     """Leftmost non-overlapping matches of ``pattern``, as array<struct<start,end,hit,part>> in code points.
 

@@ -1,9 +1,8 @@
 """Exact Jaccard join on word shingles, as a metric-space join.
 
-Equal shingle sets are one class, so copies are never paired. A pair at distance 1/4 or less must share
-one of the smallest quarter of either's shingle hashes, and three quarters of all shingles of each must
-occur in another class. Two rounds of counts (of prefixes, then of whole sets of those left) drop what
-cannot have a partner. What is left is cut into regions by pivots:
+Equal shingle sets are one class, so copies are never paired. Sets at distance 1/4 or less share at least
+1/16 of the smaller one's hashes among the smallest 5/16 of either, and 1/4 among the smallest half. Two
+rounds of counts, the second over what the first left, drop sets that cannot have a partner. What is left is cut into regions by pivots:
 
 * Classes that share a prefix shingle form its region; the region's smallest class is its pivot. Each
   class is held against the pivot that it meets most often and joins its component if near enough.
@@ -15,7 +14,8 @@ cannot have a partner. What is left is cut into regions by pivots:
 Pairs inside one component need no test, and all others that can link get one, so components are exact.
 Set keys and shingles are 64-bit hashes. Null and empty texts have an empty set and link with nothing; a
 text of fewer words than the shingle is one shingle. Repeated rows fall in one class. Ties have no part in
-it: component_id is the smallest doc_id; null ids are ignored unless a component has no other.
+it: component_id is the smallest doc_id. Rows
+without doc_id take part through rows of the same set; a set that only they have links with nothing.
 """
 
 from __future__ import annotations
@@ -26,50 +26,104 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import stage
+from threadloom.llm.common import release, stage
 
 WORDS, NUM, DEN = 5, 3, 4  # five words; similarity of NUM / DEN or more
 BLOCK, LEAF, PIVOTS = 1500, 128, 8
 #: A broadcast of ids is used up to so many rows; beyond it the same join is shuffled.
 BROADCAST_ROWS = 1_000_000
-CACHE_WORDS, CHUNK = 500_000, 1 << 20
+CHUNK, GROUP, LONGEST = 1 << 20, 1 << 20, 128
+#: A set of n has n / PART more hashes in its prefix, and needs about as many shared: first with few, then with many.
+PART_A, PART_B = 16, 4
 MUL = np.uint64(0x9E3779B97F4A7C15)
 
 
-class WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > CACHE_WORDS:
-            self.clear()
-        self[word] = found = xxhash.xxh3_64_intdigest(word)
-        return found
-
-
-def shingles(text: str | None, words: WordHashes, size: int = WORDS) -> np.ndarray:
-    """Sorted distinct shingle hashes. Only A-Z are lowered, and only ASCII blanks part words."""
-    if not text:
-        return np.empty(0, np.uint64)
-    parts = text.encode("utf-8", "surrogatepass").lower().split()
-    if not parts:
-        return np.empty(0, np.uint64)
-    w = np.fromiter(map(words.__getitem__, parts), np.uint64, len(parts))
-    k = min(size, len(w))
-    h = np.full(len(w) - k + 1, k, np.uint64)
-    for i in range(k):
-        h = h * MUL + w[i : len(w) - k + 1 + i]
+def _mix(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return np.unique(h ^ (h >> np.uint64(31)))
+    return h ^ (h >> np.uint64(31))
+
+
+#: Tabulation hashing: a word's hash sums a random number for each byte and place.
+TABLE = _mix(np.arange(1, LONGEST * 256 + 1, dtype=np.uint64) * MUL)
+BLANK = np.zeros(256, bool)
+BLANK[[9, 10, 11, 12, 13, 32]] = True
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+
+
+def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and first byte of every word of a byte array; only ASCII blanks part words, only A-Z are lowered."""
+    at = np.flatnonzero(~BLANK[data])
+    if not len(at):
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    begin = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1] + 1]))
+    sizes = np.diff(np.append(begin, len(at)))
+    place = (np.arange(len(at)) - np.repeat(begin, sizes)) % LONGEST
+    h = _mix(np.add.reduceat(TABLE[place * 256 + LOWER[data[at]]], begin) + sizes.astype(np.uint64) * MUL)
+    for i in np.flatnonzero(sizes > LONGEST):
+        h[i] = xxhash.xxh3_64_intdigest(LOWER[data[at[begin[i]] : at[begin[i]] + sizes[i]]].tobytes())
+    return h, at[begin]
+
+
+def shingle_sets(texts: list[str | None], size: int = WORDS) -> list[np.ndarray]:
+    """Sorted distinct shingle hashes of each text."""
+    raws = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+    words, starts = word_hashes(np.frombuffer(b" ".join(raws), np.uint8))
+    ends = np.searchsorted(starts, np.cumsum([len(r) + 1 for r in raws])).tolist()
+    h = np.full(max(0, len(words) - size + 1), size, np.uint64)
+    for i in range(size):
+        h = h * MUL + words[i : i + len(h)]
+    h, out, first = _mix(h), [], 0
+    for end in ends:
+        if end - first >= size:
+            s = np.sort(h[first : end - size + 1])
+            out.append(s[np.concatenate([[True], s[1:] != s[:-1]])])
+        elif end > first:
+            one = np.full(1, end - first, np.uint64)
+            for w in words[first:end]:
+                one = one * MUL + w
+            out.append(_mix(one))
+        else:
+            out.append(np.empty(0, np.uint64))
+        first = end
+    return out
+
+
+def sets_of(column: pa.Array, size: int) -> Iterator[np.ndarray]:
+    """Shingle sets of a column of texts, in groups of about ``GROUP`` characters."""
+    held, total = [], 0
+    for t in column:
+        held.append(t.as_py())
+        total += len(held[-1] or "")
+        if total > GROUP:
+            yield from shingle_sets(held, size)
+            held, total = [], 0
+    if held:
+        yield from shingle_sets(held, size)
 
 
 def set_key(hashes: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(hashes.tobytes()) - (1 << 63)
 
 
-def prefix_size(n: np.ndarray | int) -> np.ndarray | int:
-    return n - (n * NUM + DEN - 1) // DEN + 1
+def least_shared(n: int, part: int) -> int:
+    return max(1, n // part)
+
+
+def prefix_size(n: int, part: int = 0) -> int:
+    """How many of the smallest hashes of a set to look at. Sets that link share ``least_shared(n, part)`` of
+    them, n being the smaller size, or one with part 0: of the shared hashes in order, the j-th has at least
+    ``shared - j`` of its set after it, and at least NUM / DEN of a set are shared."""
+    return min(n, n - (n * NUM + DEN - 1) // DEN + (least_shared(n, part) if part else 1))
+
+
+def needed(n: int, part: int) -> int:
+    """The least count that a set of n may have in its prefix if a set of compatible size links with it."""
+    return least_shared((n * NUM + DEN - 1) // DEN, part)
 
 
 def _batch(names: list[str], columns: list) -> pa.RecordBatch:
@@ -80,11 +134,9 @@ def classes_of(docs: DataFrame, size: int) -> DataFrame:
     """doc_id, n_shingles, k."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordHashes()
         for batch in batches:
-            sets = [shingles(t.as_py(), words, size) for t in batch.column(1)]
             n, k = [], []
-            for s in sets:
+            for s in sets_of(batch.column(1), size):
                 n.append(len(s))
                 k.append(set_key(s) if len(s) else None)
             yield _batch(["doc_id", "n_shingles", "k"], [batch.column(0), pa.array(n, pa.int64()), pa.array(k, pa.int64())])
@@ -110,11 +162,11 @@ def _combined(h: np.ndarray, k: np.ndarray) -> pa.RecordBatch:
     return _batch(["h", "k", "c"], [out_h, out_k, out_c])
 
 
-def _entries(source: DataFrame, hashes_of: Callable, columns: list[str]) -> DataFrame:
+def _entries(source: DataFrame, hashes_of: Callable[[pa.RecordBatch], Iterator[tuple[int, np.ndarray]]], columns: list[str]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state, seen, held, keys, total = {}, set(), [], [], 0
+        seen, held, keys, total = set(), [], [], 0
         for batch in batches:
-            for k, h in hashes_of(batch, state):
+            for k, h in hashes_of(batch):
                 if k not in seen:
                     seen.add(k)
                     held.append(h)
@@ -271,53 +323,52 @@ def _hashes(column: pa.Array, i: int) -> np.ndarray:
     return np.frombuffer(column[i].as_buffer(), np.uint64)
 
 
+def _reaches(n: str, part: int) -> Column:
+    """That ``shared`` is at least ``needed(n, part)``."""
+    shorter = F.expr(f"({n} * {NUM} + {DEN - 1}) div {DEN}")
+    return F.col("shared") >= F.greatest(F.lit(1), F.floor(shorter / F.lit(part)))
+
+
 def links(docs: DataFrame, size: int = WORDS) -> tuple[DataFrame, DataFrame]:
     """Documents (doc_id, n_shingles, k), and (k, label) for the classes that link with another."""
     rows = stage(classes_of(docs, size), "classes")
 
-    def from_text(batch: pa.RecordBatch, state: dict) -> Iterator[tuple[int, np.ndarray]]:
-        words = state.setdefault("words", WordHashes())
-        for t in batch.column(0):
-            s = shingles(t.as_py(), words, size)
-            if len(s):
-                yield set_key(s), s[: prefix_size(len(s))]
+    def from_text(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
+        for x in sets_of(batch.column(0), size):
+            if len(x):
+                yield set_key(x), x[: prefix_size(len(x), PART_A)]
 
-    met = stage(shared_counts(_entries(docs, from_text, ["text"])).select("k"), "met")
-    one = rows.filter("n_shingles > 0").groupBy("k").agg(F.min("doc_id").alias("doc_id"))
-    chosen = stage(one.join(met, "k").select("doc_id").filter("doc_id is not null"), "chosen")
+    one = rows.filter("n_shingles > 0").groupBy("k").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"))
+    met = shared_counts(_entries(docs, from_text, ["text"]))
+    chosen = stage(one.join(met, "k").filter(_reaches("n", PART_A)).select("doc_id").filter("doc_id is not null"), "chosen")
     few = chosen.count() <= BROADCAST_ROWS
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen) if few else chosen, "doc_id")
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordHashes()
         for batch in batches:
             for at in range(0, len(batch), 256):
-                part = batch.slice(at, 256).column(1)
-                sets = [s for t in part if len(s := shingles(t.as_py(), words, size))]
-                yield _batch(["k", "n", "hashes"], [pa.array([set_key(s) for s in sets], pa.int64()), pa.array(list(map(len, sets)), pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())])
+                found = [x for x in sets_of(batch.slice(at, 256).column(1), size) if len(x)]
+                yield _batch(["k", "n", "hashes"], [pa.array([set_key(x) for x in found], pa.int64()), pa.array(list(map(len, found)), pa.int64()), pa.array([x.tobytes() for x in found], pa.binary())])
 
     sets = stage(texts.select("doc_id", "text").mapInArrow(whole, "k long, n long, hashes binary"), "sets", "lz4")
 
-    def from_sets(part: Callable) -> Callable:
-        def run(batch: pa.RecordBatch, state: dict) -> Iterator[tuple[int, np.ndarray]]:
-            for i, k in enumerate(batch.column(0).to_pylist()):
-                s = _hashes(batch.column(1), i)
-                yield k, part(s)
+    def from_sets(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
+        for i, k in enumerate(batch.column(0).to_pylist()):
+            x = _hashes(batch.column(1), i)
+            yield k, x[: prefix_size(len(x), PART_B)]
 
-        return run
-
-    counted = shared_counts(_entries(sets, from_sets(lambda s: s), ["k", "hashes"]))
-    enough = stage(sets.select("k", "n").distinct().join(counted, "k").filter(F.col("shared") * DEN >= F.col("n") * NUM).select("k"), "enough")
+    counted = shared_counts(_entries(sets, from_sets, ["k", "hashes"]))
+    enough = sets.select("k", "n").distinct().join(counted, "k").filter(_reaches("n", PART_B)).select("k")
     left = stage(sets.join(enough, "k").dropDuplicates(["k"]), "left", "lz4")
+    release(sets)
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, len(batch), 1000):
                 part = batch.slice(at, 1000)
-                heads = [s[: prefix_size(len(s))] for s in (_hashes(part.column(1), i) for i in range(len(part)))]
-                lens = list(map(len, heads))
-                k = np.repeat(part.column(0).to_numpy(), lens)
-                yield _batch(["h", "k"], [(np.concatenate(heads) if heads else np.empty(0, np.uint64)).view(np.int64), k])
+                found = [x[: prefix_size(len(x))] for x in (_hashes(part.column(1), i) for i in range(len(part)))]
+                k = np.repeat(part.column(0).to_numpy(), list(map(len, found)))
+                yield _batch(["h", "k"], [(np.concatenate(found) if found else np.empty(0, np.uint64)).view(np.int64), k])
 
     heads = left.select("k", "hashes").mapInArrow(prefixes, "h long, k long")
 
@@ -341,16 +392,8 @@ def links(docs: DataFrame, size: int = WORDS) -> tuple[DataFrame, DataFrame]:
     comps = components(first)
 
     # regions that still span components
-    labelled = left.select("k", "hashes").join(comps.withColumnRenamed("v", "k"), "k", "left").select("k", F.coalesce("label", "k").alias("comp"), "hashes")
-    labelled = stage(labelled, "labelled", "lz4")
-
-    def with_comp(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, len(batch), 1000):
-                part = batch.slice(at, 1000)
-                hs = [s[: prefix_size(len(s))] for s in (_hashes(part.column(2), i) for i in range(len(part)))]
-                lens = list(map(len, hs))
-                yield _batch(["h", "comp", "k"], [(np.concatenate(hs) if hs else np.empty(0, np.uint64)).view(np.int64), np.repeat(part.column(1).to_numpy(), lens), np.repeat(part.column(0).to_numpy(), lens)])
+    in_comp = comps.withColumnRenamed("v", "k")
+    spread = heads.join(in_comp, "k", "left").select("h", F.coalesce("label", "k").alias("comp"), "k")
 
     def torn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for h, comp, k in _runs(batches, 3):
@@ -361,14 +404,14 @@ def links(docs: DataFrame, size: int = WORDS) -> tuple[DataFrame, DataFrame]:
             found = np.unique(np.stack([k[multi], comp[multi], low[multi]], 1), axis=0)
             yield _batch(["k", "comp", "low"], [found[:, i].copy() for i in range(3)])
 
-    spread = labelled.mapInArrow(with_comp, "h long, comp long, k long").repartition("h").sortWithinPartitions("h", "comp", "k")
-    open_ = stage(spread.mapInArrow(torn, "k long, comp long, low long").distinct(), "open")
+    dealt = spread.repartition("h").sortWithinPartitions("h", "comp", "k")
+    open_ = stage(dealt.mapInArrow(torn, "k long, comp long, low long").distinct(), "open")
     regions = components(open_.select(F.col("comp").alias("a"), F.col("low").alias("b")))
     inside = open_.select("k", "comp").distinct().join(regions.select(F.col("v").alias("comp"), F.col("label").alias("region")), "comp")
     sizes = inside.groupBy("region").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     placed = inside.join(sizes, "region").withColumn("block", F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int"))
     others = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = others.select("region", "k", "comp", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).join(labelled.select("k", "hashes"), "k")
+    dealt = others.select("region", "k", "comp", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).join(left.select("k", "hashes"), "k")
 
     def leaf(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("k")
