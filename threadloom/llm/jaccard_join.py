@@ -1,13 +1,13 @@
 """Exact Jaccard join on word shingles, as a metric-space join.
 
 Equal shingle sets are one class, so copies are never paired. Sets at distance 1/4 or less share at least
-1/16 of the smaller one's hashes among the smallest 5/16 of either, and 1/4 among the smallest half. Two
+1/16 of the smaller one's hashes among the smallest 5/16 of either, and 3/4 of either's among all. Two
 rounds of counts, the second over what the first left, drop sets that cannot have a partner. What is left is cut into regions by pivots:
 
 * Classes that share a prefix shingle form its region; the region's smallest class is its pivot. Each
   class is held against the pivot that it meets most often and joins its component if near enough.
-* A region whose classes now lie in one component is done. Regions that still span components are united
-  where they touch and joined again: inside a task, pivots split them into Voronoi cells, classes within
+* A region whose classes now lie in one component is done. In small regions the pairs across components that
+  meet often enough are tested. Large ones are united where they touch and joined again: inside a task, pivots split them into Voronoi cells, classes within
   the triangle-inequality window of a border (``d(x, q) <= d(x, p) + 1/2``) are copied over it, and cells
   are split on until small. Large regions are dealt to tasks by pairs of blocks.
 
@@ -33,11 +33,13 @@ from threadloom.llm.common import release, stage
 
 WORDS, NUM, DEN = 5, 3, 4  # five words; similarity of NUM / DEN or more
 BLOCK, LEAF, PIVOTS = 1500, 128, 8
+#: Classes with one shingle are paired up to so many; beyond it they are joined by regions.
+FEW = 48
 #: A broadcast of ids is used up to so many rows; beyond it the same join is shuffled.
 BROADCAST_ROWS = 1_000_000
 CHUNK, GROUP, LONGEST = 1 << 20, 1 << 20, 128
-#: A set of n has n / PART more hashes in its prefix, and needs about as many shared: first with few, then with many.
-PART_A, PART_B = 16, 4
+#: A set of n has n / PART more hashes in its prefix, and needs about as many shared.
+PART = 16
 MUL = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -336,11 +338,11 @@ def links(docs: DataFrame, size: int = WORDS) -> tuple[DataFrame, DataFrame]:
     def from_text(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
         for x in sets_of(batch.column(0), size):
             if len(x):
-                yield set_key(x), x[: prefix_size(len(x), PART_A)]
+                yield set_key(x), x[: prefix_size(len(x), PART)]
 
     one = rows.filter("n_shingles > 0").groupBy("k").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"))
     met = shared_counts(_entries(docs, from_text, ["text"]))
-    chosen = stage(one.join(met, "k").filter(_reaches("n", PART_A)).select("doc_id").filter("doc_id is not null"), "chosen")
+    chosen = stage(one.join(met, "k").filter(_reaches("n", PART)).select("doc_id").filter("doc_id is not null"), "chosen")
     few = chosen.count() <= BROADCAST_ROWS
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen) if few else chosen, "doc_id")
 
@@ -355,10 +357,10 @@ def links(docs: DataFrame, size: int = WORDS) -> tuple[DataFrame, DataFrame]:
     def from_sets(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
         for i, k in enumerate(batch.column(0).to_pylist()):
             x = _hashes(batch.column(1), i)
-            yield k, x[: prefix_size(len(x), PART_B)]
+            yield k, x
 
     counted = shared_counts(_entries(sets, from_sets, ["k", "hashes"]))
-    enough = sets.select("k", "n").distinct().join(counted, "k").filter(_reaches("n", PART_B)).select("k")
+    enough = sets.select("k", "n").distinct().join(counted, "k").filter(F.col("shared") * DEN >= F.col("n") * NUM).select("k")
     left = stage(sets.join(enough, "k").dropDuplicates(["k"]), "left", "lz4")
     release(sets)
 
@@ -366,11 +368,11 @@ def links(docs: DataFrame, size: int = WORDS) -> tuple[DataFrame, DataFrame]:
         for batch in batches:
             for at in range(0, len(batch), 1000):
                 part = batch.slice(at, 1000)
-                found = [x[: prefix_size(len(x))] for x in (_hashes(part.column(1), i) for i in range(len(part)))]
-                k = np.repeat(part.column(0).to_numpy(), list(map(len, found)))
-                yield _batch(["h", "k"], [(np.concatenate(found) if found else np.empty(0, np.uint64)).view(np.int64), k])
+                found = [x[: prefix_size(len(x), PART)] for x in (_hashes(part.column(1), i) for i in range(len(part)))]
+                k, n = (np.repeat(part.column(c).to_numpy(), list(map(len, found))) for c in (0, 2))
+                yield _batch(["h", "k", "n"], [(np.concatenate(found) if found else np.empty(0, np.uint64)).view(np.int64), k, n])
 
-    heads = left.select("k", "hashes").mapInArrow(prefixes, "h long, k long")
+    heads = left.select("k", "hashes", "n").mapInArrow(prefixes, "h long, k long, n long")
 
     def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last_h, last_k = None, None
@@ -386,32 +388,47 @@ def links(docs: DataFrame, size: int = WORDS) -> tuple[DataFrame, DataFrame]:
             pairs, counts = np.unique(np.stack([k[ok], pivot[ok]], 1), axis=0, return_counts=True)
             yield _batch(["k", "pivot", "met"], [pairs[:, 0].copy(), pairs[:, 1].copy(), counts.astype(np.int64)])
 
-    met_by = heads.repartition("h").sortWithinPartitions("h", "k").mapInArrow(stars, "k long, pivot long, met long").groupBy("k", "pivot").agg(F.sum("met").alias("met"))
+    met_by = heads.select("h", "k").repartition("h").sortWithinPartitions("h", "k").mapInArrow(stars, "k long, pivot long, met long").groupBy("k", "pivot").agg(F.sum("met").alias("met"))
     best = met_by.groupBy("k").agg(F.max(F.struct("met", (-F.col("pivot")).alias("m"), "pivot")).alias("b")).select("k", F.col("b.pivot").alias("pivot"))
     first = stage(_verified(best, left).select(F.col("k").alias("a"), F.col("pivot").alias("b")), "first_links")
     comps = components(first)
 
     # regions that still span components
     in_comp = comps.withColumnRenamed("v", "k")
-    spread = heads.join(in_comp, "k", "left").select("h", F.coalesce("label", "k").alias("comp"), "k")
+    spread = heads.join(in_comp, "k", "left").select("h", F.coalesce("label", "k").alias("comp"), "k", "n")
 
     def torn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for h, comp, k in _runs(batches, 3):
+        """Of prefix shingles whose classes span components: pairs (n > 0: the smaller size) where few classes
+        have it, else its classes with their component and the smallest (n = 0)."""
+        for h, comp, k, n in _runs(batches, 4):
             begin = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
             sizes = np.diff(np.append(begin, len(h)))
-            multi = np.repeat(comp[begin] != comp[begin + sizes - 1], sizes)
+            open_runs = comp[begin] != comp[begin + sizes - 1]
+            many = np.repeat(open_runs & (sizes > FEW), sizes)
             low = np.repeat(comp[begin], sizes)
-            found = np.unique(np.stack([k[multi], comp[multi], low[multi]], 1), axis=0)
-            yield _batch(["k", "comp", "low"], [found[:, i].copy() for i in range(3)])
-
-    dealt = spread.repartition("h").sortWithinPartitions("h", "comp", "k")
-    open_ = stage(dealt.mapInArrow(torn, "k long, comp long, low long").distinct(), "open")
-    regions = components(open_.select(F.col("comp").alias("a"), F.col("low").alias("b")))
-    inside = open_.select("k", "comp").distinct().join(regions.select(F.col("v").alias("comp"), F.col("label").alias("region")), "comp")
+            found = [np.stack([k[many], comp[many], low[many], np.zeros(int(many.sum()), np.int64)], 1)]
+            for m in np.unique(sizes[open_runs & (sizes <= FEW)]):
+                rows = begin[open_runs & (sizes == m)][:, None] + np.arange(m)
+                i, j = np.triu_indices(m, 1)
+                i, j = rows[:, i].ravel(), rows[:, j].ravel()
+                ok = (comp[i] != comp[j]) & (np.minimum(n[i], n[j]) * DEN >= np.maximum(n[i], n[j]) * NUM)
+                i, j = i[ok], j[ok]
+                found.append(np.stack([np.minimum(k[i], k[j]), np.maximum(k[i], k[j]), np.zeros(len(i), np.int64), np.minimum(n[i], n[j])], 1))
+            rows, counts = np.unique(np.concatenate(found), axis=0, return_counts=True)
+            yield _batch(["k", "to", "low", "n", "met"], [*(rows[:, c].copy() for c in range(4)), counts.astype(np.int64)])
+
+    dealt = spread.repartition("h").sortWithinPartitions("h", "comp", "k").mapInArrow(torn, "k long, to long, low long, n long, met long")
+    open_ = stage(dealt.groupBy("k", "to", "low", "n").agg(F.sum("met").alias("met")), "open")
+    # a pair that links and has no shingle of many classes meets in so many shingles of few
+    pairs = open_.filter(F.col("n") > 0).filter(F.col("met") >= F.greatest(F.lit(1), F.floor(F.col("n") / F.lit(PART)))).select("k", F.col("to").alias("pivot"))
+    near = stage(_verified(pairs, left), "near_links")
+    in_regions = open_.filter("n = 0").select("k", F.col("to").alias("comp"), "low")
+    regions = components(in_regions.select(F.col("comp").alias("a"), F.col("low").alias("b")))
+    inside = in_regions.select("k", "comp").distinct().join(regions.select(F.col("v").alias("comp"), F.col("label").alias("region")), "comp")
     sizes = inside.groupBy("region").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     placed = inside.join(sizes, "region").withColumn("block", F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int"))
     others = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = others.select("region", "k", "comp", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).join(left.select("k", "hashes"), "k")
+    blocks = others.select("region", "k", "comp", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).join(left.select("k", "hashes"), "k")
 
     def leaf(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("k")
@@ -422,8 +439,10 @@ def links(docs: DataFrame, size: int = WORDS) -> tuple[DataFrame, DataFrame]:
         comp = pdf["comp"].to_numpy()
         return pd.DataFrame({"a": [comp[a] for a, _ in out], "b": [comp[b] for _, b in out]}, dtype="int64")
 
-    later = stage(dealt.groupBy("region", "i", "j").applyInPandas(leaf, "a long, b long"), "later_links")
-    merged = components(later)
+    later = stage(blocks.groupBy("region", "i", "j").applyInPandas(leaf, "a long, b long"), "later_links")
+    up = in_comp.withColumnRenamed("k", "v")
+    named = near.join(up.select(F.col("v").alias("k"), F.col("label").alias("a")), "k", "left").join(up.select(F.col("v").alias("pivot"), F.col("label").alias("b")), "pivot", "left")
+    merged = components(later.unionByName(named.select(F.coalesce("a", "k").alias("a"), F.coalesce("b", "pivot").alias("b"))))
     final = comps.join(merged.select(F.col("v").alias("label"), F.col("label").alias("up")), "label", "left").select(F.col("v").alias("k"), F.coalesce("up", "label").alias("label"))
     alone = merged.join(comps.select("v"), "v", "left_anti").select(F.col("v").alias("k"), "label")
     return rows, final.unionByName(alone)
