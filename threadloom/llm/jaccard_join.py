@@ -32,9 +32,9 @@ from pyspark.sql import functions as F
 from threadloom.llm.common import release, stage
 
 WORDS, NUM, DEN = 5, 3, 4  # five words; similarity of NUM / DEN or more
-BLOCK, LEAF, PIVOTS = 1500, 128, 8
+BLOCK, LEAF, PIVOTS = 4000, 128, 8
 #: Classes with one shingle are paired up to so many; beyond it they are joined by regions.
-FEW = 48
+FEW = 64
 #: A broadcast of ids is used up to so many rows; beyond it the same join is shuffled.
 BROADCAST_ROWS = 1_000_000
 CHUNK, GROUP, LONGEST = 1 << 20, 1 << 20, 128
