@@ -343,6 +343,15 @@ def test_packing(spark):
     check_pack(packing.concat_and_cut(docs.repartition(5), Q.tokenizer_json()).collect(), docs.collect())
 
 
+def test_word_ids_are_those_of_whole_texts():
+    from tokenizers import Tokenizer
+
+    t, ids_of = Tokenizer.from_str(Q.tokenizer_json()), packing.word_ids(Q.tokenizer_json(), "<u2")
+    for text in ("a <|ENDOFTEXT|> b", "x <|endoftext|>, y", "it's <|x|>. Fine!!", "Tab\tword\r\nnext. don't!", "a\u00a0b\u3000c.", "\u0130stanbul caf\u00e9!"):
+        got = b"".join(map(ids_of.__getitem__, packing.words_of(text)))
+        assert list(struct.unpack(f"<{len(got) // 2}H", got)) == t.encode(text, add_special_tokens=False).ids, text
+
+
 def test_packing_odd(spark, odd):
     check_pack(packing.concat_and_cut(odd, Q.tokenizer_json()).collect(), odd.collect())
     once = odd.filter("doc_id is null or doc_id <> 5")

@@ -60,8 +60,8 @@ def word_ids(tokenizer_json: str, kind: str) -> WordIds:
 
 
 def words_of(text: str) -> list[str]:
-    if text.isascii():
-        text = text.lower()  # beyond ASCII the tokenizer's own normaliser decides
+    if text.isascii() and "<|" not in text:
+        text = text.lower()  # beyond ASCII the tokenizer's own normaliser decides, and special tokens are matched before it
     return text.replace("\n", " ").split(" ")
 
 
