@@ -160,6 +160,28 @@ def test_url_filter_shrinks(spark):
     assert got["bad.spam.org"] == "block" and got["new.fine.org"] == "allow"
 
 
+def test_url_filter_sql(spark, tmp_path):
+    """Hosts that are bad, mixed, good and unseen, under domains of either kind, against the query's SQL."""
+    import duckdb
+
+    urls, labels = ["no host", None, "ftp://Only"], []
+    for i in range(3000):
+        host = f"h{i % 7}.d{i % 11}.{('org', 'biz', 'co.uk')[i % 3]}"
+        urls.append(f"https://{host}/page/{i}")
+        if i % 4:
+            labels.append((i, None if i % 29 == 0 else int((i * 7919) % 13 > i % 11), int(i % 11 == 10)))
+    urls += ["https://new.d10.org/a", "https://new.d1.biz", "https://a.b.c.d9.org/?x#y", "https://x.info/"]
+    spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = Q.op3_url_filter(spark, str(tmp_path)).collect()
+    db = duckdb.connect()
+    for t in ("pages", "labels"):
+        db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, db.execute(Q.oracle_sql()["op3_url_filter"]).fetchall()))
+    by_rule = [r["verdict"] for r in got if r["rule"] is None]
+    assert min(by_rule.count("block"), by_rule.count("allow")) > 100
+
+
 # 4 ------------------------------------------------------------------------------------------------
 
 

@@ -67,5 +67,42 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_mixing, op2_hnsw, op3_url_filter, op4_language_crf, op5_secret_scan, op6_quality_mil, op7_packing, op8_pii, op9_jaccard_join, op10_avi)}
 
 
+def _prior_sql(children: str, parent: str) -> str:
+    """Counts of each parent and the strength of the beta prior of its children, by moments."""
+    sums = f"SELECT {parent}, sum(n)::DOUBLE AS n, sum(bad)::DOUBLE AS bad, count(*) AS kids, sum(n * n)::DOUBLE AS nn, sum(bad * bad / n)::DOUBLE AS kk, sum(bad)::DOUBLE / sum(n) AS m FROM {children} GROUP BY 1"
+    spread = f"SELECT *, kk - bad * m - (kids - 1) * m * (1 - m) AS among, (n - nn / n - (kids - 1)) * m * (1 - m) AS room FROM ({sums})"
+    return f"SELECT {parent}, n, bad, CASE WHEN rho <= 0.005 THEN 200 WHEN rho >= 0.5 THEN 1 ELSE (1 - rho) / rho END::DOUBLE AS strength FROM (SELECT *, CASE WHEN room > 0 THEN among / room ELSE 0 END AS rho FROM ({spread}))"
+
+
+def _posterior_sql(children: str, parents: str, key: str) -> str:
+    return f"SELECT c.*, c.bad + p.strength * p.a / (p.a + p.b) AS a, c.n - c.bad + p.strength * (1 - p.a / (p.a + p.b)) AS b FROM {children} c JOIN {parents} p USING ({key})"
+
+
+DOMAIN_SQL, SUFFIX_SQL = "regexp_extract({}, '([^.]*[.])?[^.]*$')", "regexp_extract({}, '[^.]*$')"
+
+URL_SQL = f"""
+WITH u AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+judged AS (SELECT doc_id, max(CAST(quality = 0 OR toxic = 1 AS INTEGER)) AS bad FROM labels GROUP BY 1),
+seen AS (SELECT host, bad FROM (SELECT host, TRY_CAST(regexp_extract(path, '/([0-9]{{1,18}})(?:[.]html)?/?$', 1) AS BIGINT) AS doc_id FROM p) JOIN judged USING (doc_id) WHERE bad IS NOT NULL),
+hosts AS (SELECT host, count(*) AS n, sum(bad) AS bad, {DOMAIN_SQL.format('host')} AS domain FROM seen GROUP BY 1),
+domains AS (SELECT *, {SUFFIX_SQL.format('domain')} AS suffix FROM ({_prior_sql('hosts', 'domain')})),
+suffixes AS (SELECT *, 0 AS root FROM ({_prior_sql('domains', 'suffix')})),
+roots AS (SELECT *, bad + 1 AS a, n - bad + 1 AS b FROM ({_prior_sql('suffixes', 'root')})),
+of_suffix AS ({_posterior_sql('suffixes', 'roots', 'root')}),
+of_domain AS ({_posterior_sql('domains', 'of_suffix', 'suffix')}),
+of_host AS ({_posterior_sql('hosts', 'of_domain', 'domain')}),
+posts AS (SELECT p.*, coalesce(h.a, d.a, s.a, r.a, 1) AS a, coalesce(h.b, d.b, s.b, r.b, 1) AS b FROM p LEFT JOIN of_host h ON h.host = p.host LEFT JOIN of_domain d ON d.domain = {DOMAIN_SQL.format('p.host')} LEFT JOIN of_suffix s ON s.suffix = {SUFFIX_SQL.format('p.host')} LEFT JOIN roots r ON true),
+ruled AS (SELECT *, a / (a + b) AS m, CASE
+  WHEN (host = 'www.example.com' OR ends_with(host, '.www.example.com')) AND starts_with(path, '/en/') THEN 'www.example.com/en/'
+  WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/en/') THEN 'example.com/en/'
+  WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/es/') THEN 'net/es/'
+  WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/fr/') THEN 'net/fr/'
+  WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/') THEN 'com/' END AS rule FROM posts)
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('www.example.com/en/', 'com/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
+  WHEN m - sqrt(m * (1 - m) / (a + b + 1)) >= 0.5 THEN 'block' ELSE 'allow' END AS verdict FROM ruled
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_url_filter": URL_SQL}
