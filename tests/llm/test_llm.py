@@ -504,3 +504,28 @@ def test_avi(spark, odd):
 def test_shots_cut_where_pictures_change():
     dark, light = np.full((64, 64), 20, np.uint8), np.full((64, 64), 200, np.uint8)
     assert avi.shots([dark] * 3 + [light] * 2 + [dark]) == [(0, 3), (3, 5), (5, 6)]
+
+
+def test_slices_cover_a_batch_within_the_bound():
+    import pyarrow as pa
+
+    from threadloom.llm.common import slices
+
+    texts = ["a" * 10, None, "", "b" * 500, "c" * 40, "d" * 60, "e" * 61, "é" * 30] + ["x"] * 20
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])
+    parts = [p.column(1).to_pylist() for p in slices(batch, 1, 100, rows=8)]
+    assert sum(parts, []) == texts
+    assert all(len(p) <= 8 and (len(p) == 1 or sum(len((t or "").encode()) for t in p) <= 100) for p in parts)
+    assert ["b" * 500] in parts and list(slices(batch.slice(0, 0), 1, 100)) == []
+
+
+def test_quality_features_do_not_depend_on_what_is_encoded_at_once(monkeypatch):
+    import numpy as np
+
+    from threadloom.llm import quality_mil
+
+    texts = [None, "", "a", "Some words. " * 400, "é" * 3000, "x y z\n" * 2000]
+    whole = quality_mil.encode(texts)
+    monkeypatch.setattr(quality_mil, "AT_ONCE", 3)
+    cut = quality_mil.encode(texts)
+    assert np.array_equal(whole[0], cut[0]) and np.array_equal(whole[1], cut[1])

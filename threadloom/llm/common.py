@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,6 +41,18 @@ def stage(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def slices(batch: pa.RecordBatch, column: int, most: int, rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch, in order, of at most ``rows`` rows and about ``most`` bytes in a column of texts; a
+    longer text is a part alone."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(batch):
+        before = ends[at - 1] if at else 0
+        end = min(max(at + 1, int(np.searchsorted(ends, before + most, "right"))), at + rows)
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def release(staged: DataFrame) -> None:
     """Frees the space of a staged table that nothing reads any more, by writing an empty one in its place."""
     path = staged.inputFiles()[0].rsplit("/", 1)[0] if staged.inputFiles() else None

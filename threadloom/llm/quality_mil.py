@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from threadloom.llm.common import slices
 from threadloom.llm.language_crf import held_out
 
 PASSAGE, TRAIN_DOCS, TRAIN_CHARS, HIDDEN, GATE, EPOCHS, RATE = 512, 3000, 30_000, 24, 12, 30, 0.01
@@ -29,6 +30,8 @@ GROUPS = (b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"012345
 HIGH, OTHER, PAD = len(GROUPS), len(GROUPS) + 1, len(GROUPS) + 2
 N = PAD + 1
 DIM = N * N + 2
+#: Passages encoded at once, and bytes of text scored at once; they bound memory and have no part in the result.
+AT_ONCE, SCORED_BYTES = 1024, 1 << 20
 
 
 def _classes() -> np.ndarray:
@@ -42,6 +45,20 @@ def _classes() -> np.ndarray:
 CLASS = _classes()
 
 
+def _features(data: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Features of passages: rows of ``PASSAGE`` bytes, of which the first ``sizes`` are text."""
+    kinds = np.where(np.arange(PASSAGE) < sizes[:, None], CLASS[data], PAD)
+    pair = kinds[:, :-1] * N + kinds[:, 1:] + (np.arange(len(data)) * (N * N))[:, None]
+    hist = np.bincount(pair.ravel(), minlength=len(data) * N * N).reshape(len(data), N, N).astype(np.float32)
+    hist[:, PAD], hist[:, :, PAD] = 0, 0
+    runs = np.sort(np.lib.stride_tricks.sliding_window_view(data, 4, 1).copy().view(np.uint32)[:, :, 0], 1)
+    distinct = (np.diff(runs, axis=1) != 0).sum(1) + 1
+    out = np.empty((len(data), DIM), np.float32)
+    out[:, : N * N] = np.sqrt(hist.reshape(len(data), -1) / np.maximum(sizes, 1)[:, None])
+    out[:, -2], out[:, -1] = np.minimum(1.0, distinct / np.maximum(sizes - 3, 1)), np.log1p(sizes) / 7
+    return out
+
+
 def encode(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Features of all passages (rows x DIM) and the number of passages of each text."""
     raws = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
@@ -51,18 +68,9 @@ def encode(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     lasts = np.cumsum(counts) - 1
     sizes = np.full(len(data), PASSAGE)
     sizes[lasts] = [len(r) - (int(c) - 1) * PASSAGE for r, c in zip(raws, counts, strict=True)]
-    kinds = CLASS[data]
-    kinds[lasts] = np.where(np.arange(PASSAGE) < sizes[lasts, None], kinds[lasts], PAD)
-    pair = kinds[:, :-1] * N + kinds[:, 1:] + (np.arange(len(data)) * (N * N))[:, None]
-    hist = np.bincount(pair.ravel(), minlength=len(data) * N * N).reshape(len(data), N, N).astype(np.float32)
-    hist[:, PAD], hist[:, :, PAD] = 0, 0
-    runs = np.sort(np.lib.stride_tricks.sliding_window_view(data, 4, 1).copy().view(np.uint32)[:, :, 0], 1)
-    distinct = (np.diff(runs, axis=1) != 0).sum(1) + 1
-    real = np.maximum(sizes - 3, 1)
-    share = np.minimum(1.0, distinct / real)
     out = np.empty((len(data), DIM), np.float32)
-    out[:, : N * N] = np.sqrt(hist.reshape(len(data), -1) / np.maximum(sizes, 1)[:, None])
-    out[:, -2], out[:, -1] = share, np.log1p(sizes) / 7
+    for k in range(0, len(data), AT_ONCE):
+        out[k : k + AT_ONCE] = _features(data[k : k + AT_ONCE], sizes[k : k + AT_ONCE])
     return out, counts
 
 
@@ -140,27 +148,16 @@ def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> M
     return fit([r[1] for r in rows], [int(r[2] == 1) for r in rows])
 
 
-def scored(docs: DataFrame, model: Model, bytes_at_once: int = 2 << 20) -> DataFrame:
+def scored(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, score, attention_on (the passage with the largest weight), n_passages, in scan order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def judged(keys: list, texts: list) -> pa.RecordBatch:
-            p, a, counts = model.score(texts)
-            at = np.concatenate([[0], np.cumsum(counts)])
-            on = [int(a[at[i] : at[i + 1]].argmax()) for i in range(len(texts))]
-            return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(p, pa.float64()), pa.array(on, pa.int64()), pa.array(counts, pa.int64())], ["doc_id", "score", "attention_on", "n_passages"])
-
         for batch in batches:
-            keys, texts, held = [], [], 0
-            for key, text in zip(batch.column(0), batch.column(1), strict=True):
-                keys.append(key.as_py())
-                texts.append(text.as_py())
-                held += len(texts[-1] or "") + 300
-                if held >= bytes_at_once:
-                    yield judged(keys, texts)
-                    keys, texts, held = [], [], 0
-            if keys:
-                yield judged(keys, texts)
+            for part in slices(batch, 1, SCORED_BYTES):
+                p, a, counts = model.score(part.column(1).to_pylist())
+                at = np.concatenate([[0], np.cumsum(counts)])
+                on = [int(a[at[i] : at[i + 1]].argmax()) for i in range(len(counts))]
+                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(p, pa.float64()), pa.array(on, pa.int64()), pa.array(counts, pa.int64())], ["doc_id", "score", "attention_on", "n_passages"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double, attention_on long, n_passages long")
 
@@ -171,8 +168,7 @@ def keep_mask(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(0, len(batch), 500):
-                part = batch.slice(k, 500)
+            for part in slices(batch, at, SCORED_BYTES):
                 p, _, _ = model.score(part.column(at).to_pylist())
                 yield part.filter(pa.array(p >= least))
 
