@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import release, stage
+from threadloom.llm.common import release, slices, stage
 
 WORDS, NUM, DEN = 5, 3, 4  # five words; similarity of NUM / DEN or more
 BLOCK, LEAF, PIVOTS = 4000, 128, 8
@@ -37,7 +37,7 @@ BLOCK, LEAF, PIVOTS = 4000, 128, 8
 FEW = 64
 #: A broadcast of ids is used up to so many rows; beyond it the same join is shuffled.
 BROADCAST_ROWS = 1_000_000
-CHUNK, GROUP, LONGEST = 1 << 20, 1 << 20, 128
+CHUNK, GROUP, LONGEST = 1 << 18, 1 << 18, 128
 #: A set of n has n / PART more hashes in its prefix, and needs about as many shared.
 PART = 16
 MUL = np.uint64(0x9E3779B97F4A7C15)
@@ -262,6 +262,21 @@ class _Union(dict):
             self[max(a, b)] = min(a, b)
 
 
+def _inverted(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The number of each hash of the joined sets, the sets that have each hash by number, and where they begin.
+    Large arrays go as soon as they are used, and numbers are short."""
+    flat = np.concatenate(sets)
+    order = np.argsort(flat, kind="stable")
+    flat = flat[order]
+    fresh = np.concatenate([[True], flat[1:] != flat[:-1]])
+    del flat
+    begin = np.append(np.flatnonzero(fresh), len(order))
+    numbers = np.empty(len(order), np.int32)
+    numbers[order] = np.cumsum(fresh, dtype=np.int32) - 1
+    owners = np.repeat(np.arange(len(sets), dtype=np.int32), list(map(len, sets)))[order]
+    return numbers, owners, begin
+
+
 def region_join(sets: list[np.ndarray], comps: list[int], left: np.ndarray, right: np.ndarray, union: _Union, out: list[tuple[int, int]], members: np.ndarray | None = None) -> None:
     """Adds to ``out`` enough linked pairs (positions) to connect what is linked across components.
 
@@ -270,15 +285,11 @@ def region_join(sets: list[np.ndarray], comps: list[int], left: np.ndarray, righ
     sizes = np.array([len(sets[i]) for i in idx])
     if len(idx) < 2 or len({union.root(comps[i]) for i in idx}) < 2:
         return
-    flat = np.concatenate([sets[i] for i in idx])
-    owner = np.repeat(np.arange(len(idx)), sizes)
-    values, inverse = np.unique(flat, return_inverse=True)
-    order = np.argsort(inverse, kind="stable")
-    begin = np.concatenate([[0], np.cumsum(np.bincount(inverse, minlength=len(values)))])
-    owners = owner[order]
+    inverse, owners, begin = _inverted([sets[i] for i in idx])
+    first = np.cumsum(sizes) - sizes
 
     def overlaps(i: int) -> np.ndarray:
-        mine = inverse[np.cumsum(sizes)[i] - sizes[i] : np.cumsum(sizes)[i]]
+        mine = inverse[first[i] : first[i] + sizes[i]]
         lens = begin[mine + 1] - begin[mine]
         at = np.repeat(begin[mine] - np.concatenate([[0], np.cumsum(lens)[:-1]]), lens) + np.arange(lens.sum())
         return np.bincount(owners[at], minlength=len(idx))
@@ -290,6 +301,7 @@ def region_join(sets: list[np.ndarray], comps: list[int], left: np.ndarray, righ
         own = dist.argmin(1)
         near = dist <= dist.min(1, keepdims=True) + 2 * (1 - NUM / DEN) + 1e-9  # the window over the border
         if near.sum(0).max() <= 0.7 * len(idx):
+            del inverse, owners, begin
             for p in range(PIVOTS):
                 if (own == p).any():
                     region_join(sets, comps, left, right, union, out, idx[near[:, p]])
@@ -348,8 +360,8 @@ def links(docs: DataFrame, size: int = WORDS) -> tuple[DataFrame, DataFrame]:
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, len(batch), 256):
-                found = [x for x in sets_of(batch.slice(at, 256).column(1), size) if len(x)]
+            for part in slices(batch, 1, 4 * GROUP):
+                found = [x for x in sets_of(part.column(1), size) if len(x)]
                 yield _batch(["k", "n", "hashes"], [pa.array([set_key(x) for x in found], pa.int64()), pa.array(list(map(len, found)), pa.int64()), pa.array([x.tobytes() for x in found], pa.binary())])
 
     sets = stage(texts.select("doc_id", "text").mapInArrow(whole, "k long, n long, hashes binary"), "sets", "lz4")
