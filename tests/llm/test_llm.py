@@ -529,3 +529,17 @@ def test_quality_features_do_not_depend_on_what_is_encoded_at_once(monkeypatch):
     monkeypatch.setattr(quality_mil, "AT_ONCE", 3)
     cut = quality_mil.encode(texts)
     assert np.array_equal(whole[0], cut[0]) and np.array_equal(whole[1], cut[1])
+
+
+def test_words_learned_at_once_have_the_ids_of_the_whole_text():
+    from tokenizers import Tokenizer
+
+    from threadloom.llm import packing
+    from threadloom.llm.queries import tokenizer_json
+
+    whole = Tokenizer.from_str(tokenizer_json())
+    ids_of = packing.WordIds(whole, "<u2")
+    for text in ["İstanbul ﬁn ǅ", "한국어 단어 中文字 词", "été Ωmega K ſs", "ʼn ª º x", "One two, three!! a1 b-c 42", "été été. x"]:
+        words = packing.words_of(text)
+        ids_of.learn(words)
+        assert b"".join(ids_of[w] for w in words) == np.array(whole.encode(text, add_special_tokens=False).ids, "<u2").tobytes()

@@ -37,6 +37,22 @@ class WordIds(dict):
     def __init__(self, tokenizer: object, kind: str):
         super().__init__()
         self.tokenizer, self.kind = tokenizer, kind
+        mark = getattr(tokenizer.model, "end_of_word_suffix", None)
+        vocab = tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for token, i in vocab.items() if mark and token.endswith(mark)]] = True
+
+    def learn(self, words: list[str]) -> None:
+        """Encodes the unseen stems of letters in one call. Each is one word to the tokenizer, so its ids end at
+        the first id that ends a word; if there are not as many ends as stems, they are left to ``__missing__``."""
+        stems = list({stem for word in set(words) if word not in self and (stem := word.rstrip(TRAIL)).isalpha() and stem not in self})
+        if len(stems) < 2:
+            return
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(stems)], add_special_tokens=False)[0].ids, self.kind)
+        cuts = ((np.flatnonzero(self.ends[ids]) + 1) * ids.itemsize).tolist()
+        if len(cuts) == len(stems) and cuts[-1] == ids.nbytes:
+            raw = ids.tobytes()
+            self.update((stem, raw[a:b]) for stem, a, b in zip(stems, [0, *cuts], cuts, strict=False))
 
     def __missing__(self, word: str) -> bytes:
         if len(self) > CACHE_WORDS:
@@ -82,7 +98,9 @@ def tokenised(docs: DataFrame, tokenizer_json: str, end_id: int = END_ID) -> Dat
             first = 0
             for i in range(len(batch)):
                 text = texts[i].as_py()
-                ids = b"".join(map(ids_of.__getitem__, words_of(text))) + end if text else end
+                words = words_of(text) if text else []
+                ids_of.learn(words)
+                ids = b"".join(map(ids_of.__getitem__, words)) + end
                 rows.append(ids)
                 starts.append(at)
                 at += len(ids) // width
