@@ -296,6 +296,21 @@ def test_boost_learns_a_rule():
     assert {b for b in range(16) if score(b) >= cut} == {b for b in range(16) if b & 1 and not b & 4}
 
 
+def test_pii_adds_what_no_base_check_can_judge(spark):
+    """Spelt-out addresses and national numbers get an extra span, more of them than a threshold on all would let
+    pass; decoys get none."""
+    docs = docs_of(spark).select("doc_id", "text")
+    hidden = ["jane.doe (at) mail (dot) example (dot) org", "bob[at]host[dot]com", "ann@host [dot] org", "(743) 555-3824", "1 (361) 555-8283"]
+    decoys = ["4111 1111 1111 1112", "2024-01-15 10", "15.01.2024", "10023445561", "1.2.3.999", "look (at) page.12", "he sat (at) noon.Then", "+1 23-45", "12-345-678-90", "4844508665317339", "x12345678901y", "2023 2024 2025"]
+    planted = [(10**6 + i, f"ora {x}, thed", x) for i, x in enumerate(hidden * 60)] + [(2 * 10**6 + i, f"ora {x}, thed", x) for i, x in enumerate(decoys)] + [(3 * 10**6, "call (743) 555-3824 now", "(743) 555-3824")]
+    both = docs.unionByName(spark.createDataFrame([x[:2] for x in planted], docs.schema))
+    got = {r["doc_id"]: [(p["start"], p["end"]) for p in r["pii"] if p["kind"] == "extra"] for r in pii.detect(both).collect()}
+    for i, text, x in planted:
+        at = text.index(x)
+        assert got[i] == ([] if 2 * 10**6 <= i < 3 * 10**6 else [(at, at + len(x))]), text
+    assert not any(v for i, v in got.items() if i < 10**6)
+
+
 # 6 ------------------------------------------------------------------------------------------------
 
 

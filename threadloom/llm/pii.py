@@ -2,17 +2,29 @@
 
 All in DataFrame functions. Base kinds (email, ip, card, phone) are found by pattern and check digit.
 Wider generators propose overlapping candidates; each gets ``BITS`` yes/no features packed in an integer.
-A candidate counts as positive for training where a verified base span covers it. Counts per (feature
-integer, label) over all documents are one partial aggregation with at most 2**len(BITS) groups, and the
-trees are boosted over those cells with their weights, so no row is sampled. The threshold is the lowest
-score whose cells reach ``PRECISION``. The model is applied as a sum of CASE terms over the bits.
-
-Null text counts as empty and gives no spans. An empty table gives an empty result; with no candidates or
-only one class nothing is added to the base spans. Candidates that touch a base span add nothing.
+The features hide what the base checks look for: a number is seen without its plus and country code and
+without its check digit, an address with @ and (at), . and (dot) alike. So a national number has the
+features of the international one, and a spelt-out address those of the plain one. Labels:
+
+* positive: the candidate is a verified base span;
+* negative: a base check applies and fails (check digit, octets, length after a plus), it hangs on a letter
+  or digit, or it is a bare run of digits with no cue before it;
+* undecided: the rest, which no base check can judge. Only they can be added, and they train nothing.
+
+Counts per (feature integer, label) over all documents are one partial aggregation with at most 2**len(BITS)
+groups, and the trees are boosted over those cells with their weights, so no row is sampled. The threshold
+is the lowest score whose cells reach ``PRECISION``. An undecided candidate is added where its cell scores so
+high, holds positives and reaches ``PRECISION`` itself; the cue may be there besides. What looks like no
+verified span of the same table is thus never added: without verified phones no number is.
+
+Null text counts as empty and gives no spans. An empty table gives an empty result; with no positives nothing
+is added to the base spans. Candidates that touch a base span add nothing.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,8 +41,12 @@ NUMBER = r"[+(]?[0-9][0-9\x20().-]{6,}[0-9]"
 ADDRESS = r"(?i)[a-z0-9._%+-]+(?:@|\x20?[(\[]at[)\]]\x20?)[a-z0-9-]+(?:(?:\.|\x20?[(\[]dot[)\]]\x20?)[a-z0-9-]+)+"
 KINDS = ("email", "ip", "card", "phone")
 ROUNDS, RATE, PRECISION = 24, 0.4, 0.98
-#: Names of the feature bits, lowest first.
-BITS = ("plus", "paren", "dash", "dot", "at", "long", "very_long", "luhn", "cue", "groups", "glued", "letters")
+#: Names of the feature bits, lowest first. All but the first two and the last two are of numbers only.
+BITS = ("cue", "glued", "paren", "dash", "dot", "space", "few", "long", "two", "many", "date", "tail", "at", "top", "short")
+CUE = 1 << BITS.index("cue")
+#: What a number is seen without: plus and country code, or a 1 before an area code.
+COUNTRY = r"^(?:\+[0-9]{1,3}(?=[\x20.(-])|\+|1(?=[\x20(-]))[\x20.-]*"
+DATE = r"(?:^|[^0-9])(?:(?:19|20)[0-9]{2}[\x20.-][0-9]{1,2}[\x20.-][0-9]{1,2}|[0-9]{1,2}[\x20.-][0-9]{1,2}[\x20.-](?:19|20)[0-9]{2})(?:[^0-9]|$)"
 
 
 def luhn(digits: Column) -> Column:
@@ -44,22 +60,47 @@ def digits_of(x: Column) -> Column:
     return F.regexp_replace(x, "[^0-9]", "")
 
 
-def _bits(t: Column, x: Column) -> Column:
-    hit, d = x["hit"], digits_of(x["hit"])
+def _cue(t: Column, x: Column) -> Column:
     before = F.substr(t, F.greatest(x["start"] - 23, F.lit(1)).cast("int"), F.least(x["start"], F.lit(24)).cast("int"))
-    tests = (
-        hit.contains("+"), hit.contains("("), hit.contains("-"), hit.contains("."), hit.rlike(r"(?i)@|[(\[]at[)\]]"), F.length(d) >= 9, F.length(d) >= 13,
-        (F.length(d) >= 13) & (F.length(d) <= 19) & luhn(F.when(F.length(d) > 0, d).otherwise("1")), before.rlike(r"(?i)tel|phone|call|fax|mail|contact|card|\bip\b|ssn"),
-        F.size(F.split(F.trim(hit), r"[^0-9]+")) >= 3, before.rlike(r"[A-Za-z0-9]$"), hit.rlike("[A-Za-z]"),
-    )
+    return before.rlike(r"(?i)tel|phone|call|fax|mail|contact|card|\bip\b|ssn")
+
+
+def _glued(t: Column, x: Column) -> Column:
+    beside = lambda at: F.substr(t, at.cast("int"), F.lit(1)).rlike("[A-Za-z0-9]")
+    return ((x["start"] > 0) & beside(F.greatest(x["start"], F.lit(1)))) | beside(x["end"] + 1)
+
+
+def _packed(tests: dict[str, Column]) -> Column:
     total = F.lit(0)
-    for i, test in enumerate(tests):
-        total = total + F.when(test, F.lit(1 << i)).otherwise(F.lit(0))
+    for name, test in tests.items():
+        total = total + F.when(test, F.lit(1 << BITS.index(name))).otherwise(F.lit(0))
     return total
 
 
+def _number_bits(t: Column, x: Column) -> Column:
+    seen = F.regexp_replace(x["hit"], COUNTRY, "")
+    n, groups = F.length(digits_of(seen)), F.size(F.split(F.regexp_replace(seen, "^[^0-9]+", ""), "[^0-9]+"))
+    return _packed({
+        "cue": _cue(t, x), "glued": _glued(t, x), "paren": seen.contains("("), "dash": seen.contains("-"), "dot": seen.contains("."), "space": seen.contains(" "),
+        "few": n <= 8, "long": n >= 12, "two": groups == 2, "many": groups >= 4, "date": seen.rlike(DATE), "tail": seen.rlike("[^0-9][0-9]{4}$"),
+    })
+
+
+def _address_bits(t: Column, x: Column) -> Column:
+    last = F.regexp_extract(x["hit"], "([A-Za-z0-9-]+)$", 1)
+    return _packed({"cue": _cue(t, x), "glued": _glued(t, x), "at": F.lit(True), "top": last.rlike("^(?:[a-z]{2,}|[A-Z]{2,})$"), "short": F.length(last) <= 4})
+
+
+def _fails(t: Column, x: Column) -> Column:
+    """That a number which is no base span is known to be none."""
+    hit, n = x["hit"], F.length(digits_of(x["hit"]))
+    bare = ~hit.rlike("[^0-9]") & ~_cue(t, x)
+    return bare | hit.startswith("+") | hit.rlike(r"^[0-9]+(?:\.[0-9]+){3,}$") | (n > 19) | ((n >= 13) & ~luhn(digits_of(hit))) | _glued(t, x)
+
+
 def candidates(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
-    """``keep`` plus base spans by kind and ``proposed``: array<struct<start,end,bits,label>>."""
+    """``keep`` plus base spans by kind and ``proposed``: array<struct<start,end,bits,label>>, label null for the
+    undecided. Candidates that touch a base span without being one are left out."""
     t = F.coalesce(F.col(text), F.lit(""))
 
     def of(pattern: str, guard: Column) -> Column:
@@ -74,8 +115,14 @@ def candidates(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str =
         "_address": of(ADDRESS, t.rlike(r"(?i)@|[(\[]at[)\]]")),
     })
     every = F.concat(*KINDS)
-    covered = lambda x: F.exists(every, lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"]))
-    proposed = F.transform(F.concat("_number", "_address"), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), _bits(t, x).alias("bits"), covered(x).alias("label")))
+    touches = lambda x: F.exists(every, lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"]))
+    is_base = lambda x: F.exists(every, lambda y: (y["start"] == x["start"]) & (y["end"] == x["end"]))
+
+    def rated(c: str, bits: Callable[[Column, Column], Column], fails: Callable[[Column, Column], Column]) -> Column:
+        label = lambda x: F.when(is_base(x), F.lit(True)).when(fails(t, x), F.lit(False))
+        return F.transform(F.filter(c, lambda x: is_base(x) | ~touches(x)), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), bits(t, x).alias("bits"), label(x).alias("label")))
+
+    proposed = F.concat(rated("_number", _number_bits, _fails), rated("_address", _address_bits, _glued))
     slim = lambda c: F.transform(c, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))
     return found.select(*keep, *(slim(F.col(k)).alias(k) for k in KINDS), proposed.alias("proposed"))
 
@@ -104,17 +151,13 @@ def boost(cells: list[tuple[int, int, int]], rounds: int = ROUNDS, rate: float =
     return trees
 
 
-def tree_score(trees: list, bits: Column) -> Column:
-    total = F.lit(0.0)
-    for i, j, v in trees:
-        leaf = F.shiftright(bits, i).bitwiseAND(1) * 2 + F.shiftright(bits, j).bitwiseAND(1)
-        total = total + F.when(leaf == 0, v[0]).when(leaf == 1, v[1]).when(leaf == 2, v[2]).otherwise(v[3])
-    return total
+def score_of(trees: list, bits: int) -> float:
+    return sum(v[((bits >> i) & 1) * 2 + ((bits >> j) & 1)] for i, j, v in trees)
 
 
 def threshold_of(cells: list[tuple[int, int, int]], trees: list, precision: float = PRECISION) -> float | None:
     """The lowest score from which on all cells together reach ``precision``; None if there is none."""
-    scored = sorted(((sum(v[((b >> i) & 1) * 2 + ((b >> j) & 1)] for i, j, v in trees), p, n) for b, p, n in cells), reverse=True)
+    scored = sorted(((score_of(trees, b), p, n) for b, p, n in cells), reverse=True)
     good = bad = 0
     found = None
     for k, (s, p, n) in enumerate(scored):
@@ -124,16 +167,26 @@ def threshold_of(cells: list[tuple[int, int, int]], trees: list, precision: floa
     return found
 
 
+def accepted(cells: list[tuple[int, int, int]], precision: float = PRECISION) -> list[int]:
+    """Feature integers of the cells whose undecided candidates are added."""
+    trees = boost(cells) if any(p for _, p, _ in cells) else []
+    cut = threshold_of(cells, trees, precision) if trees else None
+    if cut is None:
+        return []
+    good = {b for b, p, n in cells if p and p >= precision * (p + n) and score_of(trees, b) >= cut}
+    bad = {b for b, _, n in cells if n} - good
+    return sorted(good | ({b | CUE for b in good} - bad))
+
+
 def detect(docs: DataFrame) -> DataFrame:
     """doc_id and ``pii``: array<struct<start,rank,end,kind>>, base kinds first, then kind extra."""
     found = stage(candidates(docs), "pii_candidates")
-    counted = found.select(F.explode("proposed").alias("x")).groupBy("x.bits").agg(F.sum(F.col("x.label").cast("long")).alias("pos"), F.count("*").alias("n"))
-    cells = [(r["bits"], r["pos"], r["n"] - r["pos"]) for r in counted.collect()]  # at most 2 ** len(BITS) rows
-    trees = boost(cells) if any(c[1] for c in cells) and any(c[2] for c in cells) else []
-    cut = threshold_of(cells, trees) if trees else None
+    known = found.select(F.explode("proposed").alias("x")).filter("x.label is not null")
+    counted = known.groupBy("x.bits").agg(F.sum(F.col("x.label").cast("long")).alias("pos"), F.count("*").alias("n"))
+    take = accepted([(r["bits"], r["pos"], r["n"] - r["pos"]) for r in counted.collect()])  # at most 2 ** len(BITS) rows
     every = [labelled(F.col(k), k, i) for i, k in enumerate(KINDS)]
-    if cut is not None:
-        extra = F.filter("proposed", lambda x: ~x["label"] & (tree_score(trees, x["bits"]) >= cut - 1e-9))
+    if take:
+        extra = F.filter("proposed", lambda x: x["label"].isNull() & x["bits"].isin(take))
         every.append(labelled(extra, "extra", len(KINDS)))
     return found.select("doc_id", F.concat(*every).alias("pii"))
 
