@@ -467,6 +467,23 @@ def test_jaccard_join_borders(spark):
     assert small and jaccard_join.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_representatives_of_repeated_rows_and_ids(spark, odd):
+    a, b, c = ("one two three four five six seven", "a b c d e f g h", "p q r s t u v w")
+    near = " ".join(f"w{i}" for i in range(60))
+    rows = [(0, a), (1, a), (1, b), (2, c), (2, c), (2, c), (3, near), (3, near + " x"), (4, near + " y"), (5, "x y z"), (5, "z y x"), (6, ""), (6, ""), (7, None), (None, a), (8, b + " i j k l m")]
+    df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id int, text string, k string").repartition(5)
+    got = jaccard_join.representatives(df)
+    assert got.columns == df.columns and got.dtypes == df.dtypes
+    kept = sorted((str(r["doc_id"]), str(r["text"])) for r in got.collect())
+    threes = [x for x in kept if x[0] == "3"]
+    assert len(threes) == 1 and threes[0][1].startswith(near)
+    assert [x for x in kept if x[0] != "3"] == sorted([("0", a), ("1", b), ("2", c), ("5", "x y z"), ("5", "z y x"), ("6", ""), ("6", ""), ("7", "None"), ("None", a), ("8", b + " i j k l m")])
+    kept = [(r["doc_id"], r["text"]) for r in jaccard_join.representatives(odd).collect()]
+    want = [x[:2] for x in ODD if x[0] != 4]
+    want.remove((5, "one two"))
+    assert sorted(map(str, kept)) == sorted(map(str, want))
+
+
 def test_region_join_splits():
     """More than a leaf of sets: cells and windows must lose no link across components."""
     rng = np.random.default_rng(9)

@@ -28,6 +28,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from threadloom.llm.common import release, slices, stage
 
@@ -460,20 +461,53 @@ def links(docs: DataFrame, size: int = WORDS) -> tuple[DataFrame, DataFrame]:
     return rows, final.unionByName(alone)
 
 
-def near_duplicates(docs: DataFrame, size: int = WORDS) -> DataFrame:
-    """doc_id, n_shingles, component_id, one row per document."""
+def _named(docs: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
+    """Documents (doc_id, n_shingles, k), and for every class (k, component_id, first): ``first`` is the class
+    of the component's smallest (doc_id, k)."""
     rows, labels = links(docs, size)
     one = rows.filter("k is not null").groupBy("k").agg(F.min("doc_id").alias("low"))
     named = stage(one.join(labels, "k", "left").select("k", "low", "label"), "named")
-    roots = named.filter("label is not null").groupBy("label").agg(F.min("low").alias("root"))
-    ids = named.join(roots, "label", "left").select("k", F.coalesce("root", "low").alias("component_id"))
+    roots = named.filter("label is not null").groupBy("label").agg(F.min(F.when(F.col("low").isNotNull(), F.struct("low", "k"))).alias("root"))
+    ids = named.join(roots, "label", "left").select("k", F.coalesce("root.low", "low").alias("component_id"), F.coalesce("root.k", "k").alias("first"))
+    return rows, ids
+
+
+def near_duplicates(docs: DataFrame, size: int = WORDS) -> DataFrame:
+    """doc_id, n_shingles, component_id, one row per document."""
+    rows, ids = _named(docs, size)
     return rows.join(ids, "k", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def keyed(docs: DataFrame, size: int) -> DataFrame:
+    """``docs`` and the class of each row as ``_k``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            k = [set_key(s) if len(s) else None for s in sets_of(batch.column(batch.schema.get_field_index("text")), size)]
+            yield _batch([*batch.schema.names, "_k"], [*batch.columns, pa.array(k, pa.int64())])
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("_k", LongType())]))
+
+
 def representatives(docs: DataFrame, size: int = WORDS) -> DataFrame:
-    """The rows of ``docs`` without those that have a near duplicate of smaller doc_id. Of rows with equal
-    doc_id one stays if they are near duplicates. Rows with null doc_id stay."""
-    found = near_duplicates(docs, size)
-    gone = stage(found.filter("doc_id is not null and doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    few = gone.count() <= BROADCAST_ROWS
-    return docs.join(F.broadcast(gone) if few else gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    """One row of each component of near duplicates: that of the smallest doc_id, then the smallest class, then
+    the first by its JSON. Rows are decided by themselves, so other texts of a repeated doc_id stay. Rows with
+    null doc_id and rows without words stay."""
+    rows, ids = _named(docs, size)
+    goes = F.coalesce((F.col("doc_id") != F.col("component_id")) | (F.col("k") != F.col("first")), F.lit(False))
+    marked = rows.filter("doc_id is not null").join(ids, "k", "left").select("doc_id", "k", goes.alias("goes"))
+    # an id of one row is decided by id; the rows of others by their class too
+    decided = stage(marked.groupBy("doc_id").agg(F.max("goes").alias("goes"), F.count("*").alias("n")).filter("goes or n > 1").select(F.col("doc_id").alias("_id"), "n"), "decided")
+    few = decided.count() <= BROADCAST_ROWS
+    asked = F.broadcast(decided) if few else decided
+    once = docs.join(asked, F.col("doc_id") == F.col("_id"), "left_anti")
+    many = decided.filter("n > 1").select("_id")
+    if not many.limit(1).count():
+        return once
+    many = F.broadcast(many) if few else many
+    out = marked.filter("goes").join(many, F.col("doc_id") == F.col("_id"), "left_semi").select(F.col("doc_id").alias("_id"), F.col("k").alias("_gone")).distinct()
+    held = keyed(docs.join(many, F.col("doc_id") == F.col("_id"), "left_semi"), size)
+    kept = held.join(out, (F.col("doc_id") == F.col("_id")) & (F.col("_k") == F.col("_gone")), "left_anti")
+    row = F.struct(*docs.columns)
+    single = kept.filter("_k is not null").groupBy("doc_id", "_k").agg(F.min_by(row, F.to_json(row)).alias("_row")).select("_row.*")
+    return once.unionByName(kept.filter("_k is null").drop("_k")).unionByName(single)
