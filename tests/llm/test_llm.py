@@ -136,6 +136,21 @@ def test_hnsw_odd(spark):
     assert hnsw.search(df.limit(0)).count() == 0
 
 
+def test_hnsw_repeated_rows_and_ids(spark):
+    near = [(i, [1.0, 0.01 * i]) for i in range(1, 9)]
+    ask = lambda rows: [(r["query_id"], r["vec_id"], round(r["score"], 9)) for r in hnsw.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).orderBy("query_id", "rank").collect()]
+    cos = lambda x, y: round(float(np.dot(x, y) / np.linalg.norm(x) / np.linalg.norm(y)), 9)
+    of = lambda q, v, rows: [(q, i, cos(v, w)) for i, w in rows]
+    # a row given six times hides no other id of its class
+    assert ask([(50, [1.0, 0.0])] * 6 + [(51, [1.0, 0.0])] + near) == of(50, [1.0, 0.0], [(51, [1.0, 0.0]), *near[:4]])
+    # neighbours given many times have one rank, a query given twice one set of ranks
+    assert ask([(50, [1.0, 0.0])] * 2 + near * 20) == of(50, [1.0, 0.0], near[:5])
+    # an id with many vectors: one rank, by the best; asked with each of its own; first ids of classes may be equal
+    many = [(0, [1.0, 0.0])] + [(7, [1.0, 0.0001 * i]) for i in range(1, 40)] + [(9, [1.0, 0.0001]), (11, [1.0, 0.1]), (12, [1.0, 0.2]), (13, [1.0, 0.3]), (0, [0.0, -1.0]), (14, [0.1, -1.0])]
+    got = [x[1] for x in ask(many)]
+    assert got == [7, 9, 11, 14, 12]  # 11 and 14 score alike
+
+
 # 3 ------------------------------------------------------------------------------------------------
 
 

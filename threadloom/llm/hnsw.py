@@ -10,6 +10,10 @@ again in double precision on the original values.
 Vectors that are null, zero, or hold null or non-finite components take no part, neither as queries. With
 fewer than k candidates all are returned. Vectors of another length than the query's are never compared:
 shards are dealt by length as well. Null ids take no part.
+
+Repeated rows (same vec_id, equal vector) count once, as neighbours and as queries. Rows of one vec_id with
+other vectors all take part: the id is asked with each of its vectors, and a neighbour has one rank, by the
+best score of its vectors. An id is never its own neighbour.
 """
 
 from __future__ import annotations
@@ -162,67 +166,75 @@ def usable(vectors: DataFrame) -> DataFrame:
 def search(vectors: DataFrame, every: int = 50, k: int = 5, shard: int = SHARD, ef: int = EF) -> DataFrame:
     """query_id, rank, vec_id, score for queries with ``vec_id % every == 0`` against all other rows."""
     table = stage(usable(vectors), "vectors")
-    # at most k + 1 rows of a class can be among a query's k nearest, those with the smallest ids
+    # at most k + 1 ids of a class can be among a query's k nearest, the smallest
     by_id = Window.partitionBy("cls").orderBy("vec_id")
     whole = table.withColumn("cls", F.sha2(F.concat_ws(",", F.transform("v", lambda c: (c + 0.0).cast("string"))), 256))
-    ranked = whole.withColumn("r", F.row_number().over(by_id)).filter(F.col("r") <= k + 1)
-    classes = stage(ranked.groupBy("cls").agg(F.min_by("v", "vec_id").alias("v"), F.sort_array(F.collect_list("vec_id")).alias("ids")), "classes")  # k + 1 ids at most
+    rows = stage(whole.dropDuplicates(["vec_id", "cls"]).withColumn("mark", F.xxhash64("cls")), "rows")
+    ranked = rows.withColumn("r", F.row_number().over(by_id)).filter(F.col("r") <= k + 1)
+    classes = stage(ranked.groupBy("cls", "mark").agg(F.min_by("v", "vec_id").alias("v"), F.sort_array(F.collect_list("vec_id")).alias("ids")), "classes")  # k + 1 ids at most
     n = max(1, -(-classes.count() // shard))
-    asked = whole.filter(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), "v")
-    blocks = asked.select("query_id", "v", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("shard"), F.lit(1).alias("asks"))
-    dealt = classes.select(F.col("ids")[0].alias("query_id"), "v", F.pmod(F.xxhash64("cls"), F.lit(n)).cast("int").alias("shard"), F.lit(0).alias("asks"))
-    both = blocks.unionByName(dealt).repartition(n, "shard").sortWithinPartitions("shard", "asks", "query_id")
+    # an id has so many vectors at most, and k ids besides the query's are among so many classes
+    wide = (2 * k + 2) * (rows.groupBy("vec_id").count().agg(F.max("count")).first()[0] or 1)
+    asked = rows.filter(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), F.col("mark").alias("query_mark"), "v")
+    blocks = asked.select("query_id", "v", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("shard"), F.lit(1).alias("asks"), "query_mark")
+    # classes may begin with the same id, so a class is known by its first id and mark
+    dealt = classes.select(F.col("ids")[0].alias("query_id"), "v", F.pmod("mark", F.lit(n)).cast("int").alias("shard"), F.lit(0).alias("asks"), F.col("mark").alias("query_mark"))
+    both = blocks.unionByName(dealt).repartition(n, "shard").sortWithinPartitions("shard", "asks", "query_id", "query_mark")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows of a shard come together, its points before its queries; queries pass in blocks."""
-        state: dict = {"shard": None, "points": {}, "keys": {}, "graphs": None}
+        state: dict = {"shard": None, "points": {}, "keys": {}, "marks": {}, "graphs": None}
 
         def built() -> dict:
             if state["graphs"] is None:
-                state["graphs"] = {d: (Graph(_unit(np.array(p)), np.array(state["keys"][d])), np.array(state["keys"][d])) for d, p in state["points"].items()}
+                state["graphs"] = {d: (Graph(_unit(np.array(p)), np.array(state["keys"][d])), np.array(state["keys"][d]), np.array(state["marks"][d])) for d, p in state["points"].items()}
                 state["points"] = {}
             return state["graphs"]
 
         for batch in batches:
             out: list[tuple] = []
             keys, shards, asks = batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            marks = batch.column(4).to_pylist()
             vecs = batch.column(1).to_pylist()
             queries: dict[int, list[int]] = {}
 
             def flush() -> None:
                 for d, rows in queries.items():
                     if d in built():
-                        graph, ids = state["graphs"][d]
+                        graph, ids, seconds = state["graphs"][d]
+                        most = min(wide, len(ids))
                         for at in range(0, len(rows), BLOCK):
                             part = rows[at : at + BLOCK]
-                            found, sims = graph.search(_unit(np.array([vecs[i] for i in part])).astype(np.float32), ef)
-                            for i, f, s in zip(part, found[:, : 2 * k + 2], sims[:, : 2 * k + 2], strict=True):  # noqa: B023
-                                out.extend((keys[i], int(ids[j]), float(x)) for j, x in zip(f, s, strict=True) if j >= 0 and x > -5)  # noqa: B023
+                            found, sims = graph.search(_unit(np.array([vecs[i] for i in part])).astype(np.float32), max(ef, most))
+                            for i, f, s in zip(part, found[:, :most], sims[:, :most], strict=True):  # noqa: B023
+                                out.extend((keys[i], marks[i], int(ids[j]), int(seconds[j]), float(x)) for j, x in zip(f, s, strict=True) if j >= 0 and x > -5)  # noqa: B023
                 queries.clear()  # noqa: B023
 
             for i, (sh, ask) in enumerate(zip(shards, asks, strict=True)):
                 if sh != state["shard"]:
                     flush()
-                    state.update(shard=sh, points={}, keys={}, graphs=None)
+                    state.update(shard=sh, points={}, keys={}, marks={}, graphs=None)
                 d = len(vecs[i])
                 if ask:
                     queries.setdefault(d, []).append(i)
                 else:
                     state["points"].setdefault(d, []).append(vecs[i])
                     state["keys"].setdefault(d, []).append(keys[i])
+                    state["marks"].setdefault(d, []).append(marks[i])
             flush()
-            q, c, s = zip(*out, strict=True) if out else ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(c, pa.int64()), pa.array(s, pa.float64())], ["query_id", "found", "near"])
-
-    hits = both.mapInArrow(run, "query_id long, found long, near double")
-    best = Window.partitionBy("query_id").orderBy(F.desc("near"), "found")
-    merged = hits.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= 2 * k + 2).drop("r", "near")
-    members = classes.select(F.col("ids")[0].alias("found"), "ids", F.col("v").alias("w"))
-    pairs = merged.join(members, "found").join(asked, "query_id")
+            names = ["query_id", "query_mark", "found", "mark"]
+            *found, near = zip(*out, strict=True) if out else ((),) * 5
+            yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in found), pa.array(near, pa.float64())], [*names, "near"])
+
+    hits = both.mapInArrow(run, "query_id long, query_mark long, found long, mark long, near double")
+    best = Window.partitionBy("query_id", "query_mark").orderBy(F.desc("near"), "found", "mark")
+    merged = hits.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= wide).drop("r", "near")
+    members = classes.select(F.col("ids")[0].alias("found"), "mark", "ids", F.col("v").alias("w"))
+    pairs = merged.join(members, ["found", "mark"]).join(asked, ["query_id", "query_mark"])
     sums = F.aggregate(F.arrays_zip("v", "w"), F.struct(F.lit(0.0).alias("d"), F.lit(0.0).alias("a"), F.lit(0.0).alias("b")), lambda acc, x: F.struct((acc["d"] + x["v"] * x["w"]).alias("d"), (acc["a"] + x["v"] * x["v"]).alias("a"), (acc["b"] + x["w"] * x["w"]).alias("b")), lambda acc: acc["d"] / (F.sqrt(acc["a"]) * F.sqrt(acc["b"])))
-    rows = pairs.select("query_id", F.explode("ids").alias("vec_id"), sums.alias("score")).filter("vec_id <> query_id")
+    scored = pairs.select("query_id", F.explode("ids").alias("vec_id"), sums.alias("score")).filter("vec_id <> query_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     last = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return rows.withColumn("rank", F.row_number().over(last).cast("int")).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return scored.withColumn("rank", F.row_number().over(last).cast("int")).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
