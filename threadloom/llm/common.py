@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 #: A word of a text: a run of anything but ASCII blanks.
 WORD = r"[^\x20\x09-\x0D]+"
+SCAN_BLOCK = 256
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -61,31 +62,52 @@ def release(staged: DataFrame) -> None:
         spark.createDataFrame([], staged.schema).write.mode("overwrite").parquet(path)
 
 
-def spans(text: Column, pattern: str, group: int = 0) -> Column:
-    """Leftmost non-overlapping matches of ``pattern``, as array<struct<start,end,hit,part>> in code points.
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names that no column of ``df`` has, in any case, made from ``names`` by leading underscores."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
-    ``hit`` is the whole match and ``part`` the asked group. The pieces between matches come from ``split``;
-    running sums of piece and match lengths give the offsets. The pattern must not match empty text.
-    """
-    gaps = F.split(text, pattern, -1)
-    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    parts = hits if group == 0 else F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    kind = "array<struct<start:bigint,end:bigint,hit:string,part:string>>"
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(kind).alias("found"))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.char_length(x["gap"])
-        end = start + F.coalesce(F.char_length(x["hit"]), F.lit(0))
-        one = F.struct(start.alias("start"), end.alias("end"), x["hit"].alias("hit"), x["part"].alias("part"))
-        more = F.when(x["hit"].isNull(), acc["found"]).otherwise(F.concat(acc["found"], F.array(one)))
-        return F.struct(end.cast("long").alias("at"), more.cast(kind).alias("found"))
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once, also where ``use`` puts it inside lambdas."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def running(values: Column, zero: Column, op: Callable[[Column, Column], Column]) -> Column:
+    """Inclusive running ``op`` (associative) over an array. Values are folded in blocks of ``SCAN_BLOCK`` and the
+    blocks' totals after them, so time grows with the length and not with its square."""
+
+    def fold(xs: Column, value: Callable[[Column], Column]) -> Column:
+        return F.aggregate(xs, F.array(zero), lambda acc, x: F.concat(acc, F.array(op(F.element_at(acc, -1), value(x)))))
+
+    def whole(xs: Column) -> Column:
+        at = F.sequence(F.lit(0), F.floor(F.size(xs) / F.lit(SCAN_BLOCK)).cast("int"))
+        blocks = F.transform(at, lambda b: fold(F.slice(xs, b * SCAN_BLOCK + 1, F.lit(SCAN_BLOCK)), lambda x: x))
+        add = lambda b, base: F.transform(F.slice(b, F.lit(2), F.size(b) - 1), lambda x: op(base, x))
+        return bound(blocks, lambda bs: F.flatten(F.zip_with(bs, F.slice(fold(bs, lambda b: F.element_at(b, -1)), F.lit(1), F.size(bs)), add)))
 
-    rows = F.arrays_zip(gaps.alias("gap"), hits.alias("hit"), parts.alias("part"))
-    return F.aggregate(rows, zero, step, lambda acc: acc["found"])
+    return bound(values, whole)
+
+
+def spans(text: Column, pattern: str) -> Column:
+    """Leftmost non-overlapping matches of ``pattern``, as array<struct<start,end,hit>> in code points.
+
+    The pieces between matches come from ``split``; running sums of piece and match lengths give the offsets.
+    The pattern must not match empty text.
+    """
+    size = lambda g, h: F.char_length(g).cast("long") + F.char_length(h)
+    span = lambda h, e: F.struct((e - F.char_length(h)).alias("start"), e.alias("end"), h.alias("hit"))
+    gaps, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    return bound(hits, lambda hs: F.zip_with(hs, running(F.zip_with(F.slice(gaps, F.lit(1), F.size(hs)), hs, size), F.lit(0).cast("long"), lambda a, b: a + b), span))
 
 
 def no_spans() -> Column:
-    return F.array().cast("array<struct<start:bigint,end:bigint,hit:string,part:string>>")
+    return F.array().cast("array<struct<start:bigint,end:bigint,hit:string>>")
 
 
 def labelled(found: Column, kind: str, order: int) -> Column:

@@ -1,95 +1,150 @@
 """Secret scan with multipart credential linking, all in DataFrame functions and without a shuffle.
 
-Strong kinds (assign, access, hex) are found by pattern alone. Weak parts (identifiers, secret-like
-values, endpoints) are reported only where complementary parts lie in the same or a neighbouring scope of
-``SCOPE`` code points: the interval join of parts with scopes is an equality test on scope numbers within
-the row. The set of scopes of a text is at most its length / SCOPE, so a text of many parts stays cheap.
-
-Null text counts as empty and gives no spans; repeated rows give repeated results; doc_id may be null.
+Strong kinds (assign, access, hex) are found by pattern alone. Weak parts are identifiers, secret-like values and
+endpoints. Scopes are intervals of the text: its blocks, parted by blank lines or by the border of two objects in
+braces. A weak part is reported only where a complementary part (a secret for identifiers and endpoints; an
+access key, identifier or endpoint for secrets) lies in the same scope with at most ``REACH`` code points between
+the two. The interval join runs over the parts of a text in order: the nearest complement and the nearest border
+on either side are running maxima and minima, so a link depends on distances alone and the time grows with the
+number of parts.
+
+Defined results: null text counts as empty; a text without parts has no spans; repeated rows give repeated
+results and equal texts equal ones; doc_id may be null; an empty table gives an empty one; spans that start
+together are ordered by kind; very long texts and texts of many matches take time in proportion. Work columns get
+names that the input does not have, so extra columns of any name pass through; only ``into`` itself is replaced.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import joined, labelled, no_spans, spans
+from threadloom.llm.common import bound, fresh, joined, labelled, no_spans, running, spans
 
-#: Fixed patterns of the strong kinds.
+#: Fixed patterns of the strong kinds. For the last two the least length is asked in the pattern: their matches are
+#: whole runs, so those that are long enough stay the same. A short assigned value still uses up its text.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
-ACCESS = r"AKIA[A-Z0-9]+"
-HEX = r"[0-9a-f]+"
+ACCESS = r"AKIA[A-Z0-9]{16,}"
+HEX = r"[0-9a-f]{24,}"
 #: Weak parts.
-IDENT = r"""(?i)(?:user(?:_?name)?|login|client_?id|account|access_?id|key_?id)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@+/_.=-]{3,})"""
-WEAK = r"""(?i)(?:pwd|passphrase|credential|bearer|private_?key|signature|auth)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]{6,})"""
-ENDPOINT = r"""(?i)(?:(?:jdbc:[a-z]+|postgres|mysql|mongodb|redis|amqp|ftp)://[^\s"'<>]+|(?:host|endpoint|server)["']?\x20*[:=]\x20*["']?[A-Za-z0-9.:/_-]{4,})"""
-SCOPE = 160
-KINDS = ("assign", "access", "hex", "ident", "weak", "endpoint")
+IDENT = r"""(?i)(?:user(?:_?name)?|login|client_?id|account|access_?id|key_?id)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@+/_.=-]{3,}"""
+ENDPOINT = r"""(?i)(?:(?:jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqp|ftp)://[^\s"'<>{}]+|(?:host|endpoint|server)["']?\x20*[:=]\x20*["']?[A-Za-z0-9.:/_-]{4,})"""
+WEAK = r"""(?i)(?:pwd|passphrase|credential|bearer|private_?key|signature|auth)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{6,}"""
+#: A value of 40 signs with letters of both cases and a digit.
+MIXED = r"(?<![A-Za-z0-9+/=])(?=[A-Z0-9+/]{0,39}[a-z])(?=[a-z0-9+/]{0,39}[A-Z])(?=[A-Za-z+/]{0,39}[0-9])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=])"
+BORDER = r"\n[\x20\t\r]*\n|\}[\s,]*\{"
+REACH = 160
+KINDS = ("assign", "access", "hex", "ident", "weak", "endpoint", "mixed")
+STRONG, SECRET, BREAK = 3, (0, 2, 4, 6), len(KINDS)
+FAR = 1 << 60
+#: Literal parts, one of which every match of a pattern holds in lower case.
+HINTS = {
+    ASSIGN: ("passw", "secret", "token", "apikey", "api_key"), IDENT: ("user", "login", "clientid", "client_id", "account", "accessid", "access_id", "keyid", "key_id"),
+    ENDPOINT: ("://", "host", "endpoint", "server"), WEAK: ("pwd", "passphrase", "credential", "bearer", "privatekey", "private_key", "signature", "auth"),
+}
+
+
+def _folded(items: Column, value, zero: int, op) -> Column:
+    """Running ``op`` over the fields of ``value(item)``, a dict of numbers."""
+    names = list(value(F.element_at(items, 1)))
+    return running(
+        F.transform(items, lambda x: F.struct(*(c.cast("long").alias(n) for n, c in value(x).items()))),
+        F.struct(*(F.lit(zero).cast("long").alias(n) for n in names)),
+        lambda a, b: F.struct(*(op(a[n], b[n]).alias(n) for n in names)),
+    )
+
+
+def _with_sides(items: Column, flags) -> Column:
+    """array<struct<x,pre,suf>>: beside each item, for each class of ``flags(item)`` (a dict of conditions), the
+    largest end up to it and the smallest start from it on."""
+    ends = lambda x: {n: F.when(c, x["end"]).otherwise(F.lit(0)) for n, c in flags(x).items()}
+    starts = lambda x: {n: F.when(c, x["start"]).otherwise(F.lit(FAR)) for n, c in flags(x).items()}
+    return bound(items, lambda xs: F.arrays_zip(xs.alias("x"), _folded(xs, ends, 0, F.greatest).alias("pre"), F.reverse(_folded(F.reverse(xs), starts, FAR, F.least)).alias("suf")))
+
+
+def _linked(items: Column) -> Column:
+    """Of items (parts and borders) sorted by start: the strong ones, and the weak ones that overlap none of them
+    and have a complement in reach."""
+    strong = lambda x: x["rank"] < STRONG
+    free = F.filter(_with_sides(items, lambda x: {"s": strong(x)}), lambda r: (r["x"]["rank"] < STRONG) | ((r["pre"]["s"] <= r["x"]["start"]) & (r["suf"]["s"] >= r["x"]["end"])))
+    sides = _with_sides(F.transform(free, lambda r: r["x"]), lambda x: {"secret": x["rank"].isin(*SECRET), "other": ~x["rank"].isin(*SECRET) & (x["rank"] < BREAK), "cut": x["rank"] == BREAK})
+
+    def near(r: Column, kind: str) -> Column:
+        left = (r["pre"][kind] > r["pre"]["cut"]) & (r["pre"][kind] >= r["x"]["start"] - REACH)
+        return left | ((r["suf"][kind] < r["suf"]["cut"]) & (r["suf"][kind] <= r["x"]["end"] + REACH))
+
+    keep = lambda r: strong(r["x"]) | ((r["x"]["rank"] < BREAK) & F.when(r["x"]["rank"].isin(*SECRET), near(r, "other")).otherwise(near(r, "secret")))
+    return F.transform(F.filter(sides, keep), lambda r: r["x"])
+
+
+def scan(docs: DataFrame, text: str = "text", into: str = "secrets") -> DataFrame:
+    """``docs`` plus ``into``: array<struct<start,rank,end,kind>> by start, then kind."""
+    low, strong, others, weak = fresh(docs, "low", "strong", "others", "weak")
+    t = F.coalesce(F.col(text), F.lit(""))
 
+    def of(pattern: str) -> Column:
+        hint = reduce(or_, (F.col(low).contains(h) for h in HINTS[pattern]))
+        return F.when(hint, spans(t, pattern)).otherwise(no_spans())
 
-def _near(found: Column, cells: Column) -> Column:
-    """Spans of ``found`` that have one of ``cells`` in their own or a neighbouring scope."""
+    def named(found: Column, kind: str) -> Column:
+        return labelled(found, kind, KINDS.index(kind))
 
-    def close(x: Column) -> Column:
-        c = F.floor(x["start"] / F.lit(SCOPE))
-        return F.arrays_overlap(F.array(c - 1, c, c + 1), cells)
+    access = F.when(t.contains("AKIA"), spans(t, ACCESS)).otherwise(no_spans())
+    hexes = F.when(t.rlike(HEX), spans(t, HEX)).otherwise(no_spans())
+    assign = F.filter(of(ASSIGN), lambda x: F.length(F.regexp_extract(x["hit"], ASSIGN, 2)) >= 6)
+    found = docs.withColumn(low, F.lower(t)).withColumns({strong: F.concat(named(assign, "assign"), named(access, "access"), named(hexes, "hex")), others: F.concat(named(of(IDENT), "ident"), named(of(ENDPOINT), "endpoint"))})
+    # a value is a weak secret only beside other parts, so it is looked for only there
+    asked = (F.size(others) > 0) | F.exists(strong, lambda x: x["kind"] == "access")
+    found = found.withColumn(weak, F.when(asked, F.concat(named(of(WEAK), "weak"), named(spans(t, MIXED), "mixed"))).otherwise(named(no_spans(), "weak")))
+    parts = F.concat(strong, others, weak)
+    borders = labelled(spans(t, BORDER), "border", BREAK)
+    every = F.when(F.size(others) + F.size(weak) > 0, _linked(F.array_sort(F.concat(parts, borders)))).otherwise(F.array_sort(F.col(strong)))
+    return found.withColumn(into, every).drop(low, strong, others, weak)
 
-    return F.filter(found, close)
 
+def digest(scanned: DataFrame) -> DataFrame:
+    base = F.filter("secrets", lambda x: x["rank"] < STRONG)
+    count = lambda k: F.size(F.filter("secrets", lambda x: x["kind"] == k)).cast("long")
+    return scanned.select("doc_id", *(count(k).alias(f"n_{k}") for k in KINDS[:STRONG]), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("secrets")).alias("spans"))
 
-def _cells(*found: Column) -> Column:
-    return F.array_distinct(F.transform(F.concat(*found), lambda x: F.floor(x["start"] / F.lit(SCOPE))))
 
+#: Code points of a piece of text that cuts are counted in.
+PIECE = 1024
 
-def _apart(found: Column, strong: Column) -> Column:
-    return F.filter(found, lambda x: ~F.exists(strong, lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"])))
 
+def _cut(pieces: Column, start: Column, end: Column) -> Column:
+    """Text of [start, end) from its pieces of ``PIECE`` code points; only the pieces that it touches are read."""
+    i, j = F.floor(start / PIECE).cast("int"), F.floor((end - 1) / PIECE).cast("int")
+    first = F.substr(F.get(pieces, i), (start % PIECE + 1).cast("int"), F.least(end - start, F.lit(PIECE)).cast("int"))
+    last = F.substr(F.get(pieces, j), F.lit(1), (end - j * PIECE).cast("int"))
+    return F.when(end <= start, F.lit("")).when(i == j, first).otherwise(F.concat(first, F.array_join(F.slice(pieces, i + 2, j - i - 1), ""), last))
 
-def scan(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` plus column ``secrets``: array<struct<start,rank,end,kind>> by start, then kind."""
-    t = F.coalesce(F.col(text), F.lit(""))
 
-    def of(pattern: str, guard: str, group: int = 0) -> Column:
-        return F.when(t.rlike(guard), spans(t, pattern, group)).otherwise(no_spans())
-
-    found = docs.withColumns({
-        "_assign": F.filter(of(ASSIGN, ASSIGN, 2), lambda x: F.char_length(x["part"]) >= 6),
-        "_access": F.filter(of(ACCESS, r"AKIA[A-Z0-9]{16}"), lambda x: x["end"] - x["start"] >= 20),
-        "_hex": F.filter(of(HEX, r"[0-9a-f]{24}"), lambda x: x["end"] - x["start"] >= 24),
-        "_ident": of(IDENT, IDENT),
-        "_weak": of(WEAK, WEAK),
-        "_endpoint": of(ENDPOINT, ENDPOINT),
-    })
-    strong = F.concat("_assign", "_access", "_hex")
-    found = found.withColumns({c: _apart(F.col(c), strong) for c in ("_ident", "_weak", "_endpoint")})
-    secret_at = _cells(F.col("_assign"), F.col("_hex"), F.col("_weak"))
-    found = found.withColumns({"_secret_at": secret_at, "_other_at": _cells(F.col("_ident"), F.col("_access"), F.col("_endpoint"))})
-    linked = {
-        "assign": F.col("_assign"), "access": F.col("_access"), "hex": F.col("_hex"),
-        "ident": _near(F.col("_ident"), F.col("_secret_at")), "weak": _near(F.col("_weak"), F.col("_other_at")), "endpoint": _near(F.col("_endpoint"), F.col("_secret_at")),
-    }
-    every = F.array_sort(F.concat(*(labelled(linked[k], k, i) for i, k in enumerate(KINDS))))
-    return found.withColumn("secrets", every).drop(*(f"_{k}" for k in KINDS), "_secret_at", "_other_at")
+def without(text: Column, found: Column, mark: str) -> Column:
+    """``text`` with the spans of ``found`` (by start) replaced by ``mark``; spans that overlap share one."""
+    end = F.char_length(text).cast("long")
+    edge = F.array(F.struct(end.alias("start"), end.alias("end")))
+    slim = F.concat(F.transform(found, lambda x: F.struct(x["start"].cast("long").alias("start"), x["end"].cast("long").alias("end"))), edge)
 
+    def whole(pieces: Column, rows: Column) -> Column:
+        ends = running(F.transform(rows, lambda x: x["end"]), F.lit(0).cast("long"), F.greatest)
+        before = F.concat(F.array(F.lit(0).cast("long")), F.slice(ends, F.lit(1), F.size(rows) - 1))
+        part = lambda x, b, i: F.when(i == F.size(rows), _cut(pieces, b, x["start"])).when(x["start"] >= b, F.concat(_cut(pieces, b, x["start"]), F.lit(mark))).otherwise(F.lit(""))
+        zipped = F.arrays_zip(rows.alias("x"), before.alias("b"), F.sequence(F.lit(1), F.size(rows)).alias("i"))
+        return F.array_join(F.transform(zipped, lambda r: part(r["x"], r["b"], r["i"])), "")
 
-def digest(scanned: DataFrame) -> DataFrame:
-    base = F.filter("secrets", lambda x: x["rank"] < 3)
-    count = lambda k: F.size(F.filter("secrets", lambda x: x["kind"] == k)).cast("long")
-    return scanned.select("doc_id", *(count(k).alias(f"n_{k}") for k in KINDS[:3]), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("secrets")).alias("spans"))
+    chunks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+    return bound(chunks, lambda pieces: bound(slim, lambda rows: whole(pieces, rows)))
 
 
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
-    """``docs`` with every span replaced by ``mark`` and n_chars set anew; other rows and columns stay."""
-    found = scan(docs)
-    t = F.col("text")
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("kept"))
-
-    def step(acc: Column, x: Column) -> Column:
-        piece = F.when(x["start"] >= acc["at"], F.array(F.substr(t, (acc["at"] + 1).cast("int"), (x["start"] - acc["at"]).cast("int")), F.lit(mark))).otherwise(F.array().cast("array<string>"))
-        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.concat(acc["kept"], piece).alias("kept"))
-
-    clean = F.aggregate("secrets", zero, step, lambda acc: F.concat(F.array_join(acc["kept"], ""), F.substr(t, (acc["at"] + 1).cast("int"))))
-    has = F.size("secrets") > 0
-    out = found.withColumn("_text", F.when(has, clean).otherwise(t))
-    size = F.when(has, F.char_length("_text").cast("long")).otherwise(F.col("n_chars"))
-    return out.withColumn("n_chars", size).withColumn("text", F.col("_text")).select(*docs.columns)
+    """``docs`` with every span replaced by ``mark`` and n_chars, where there is one, set anew; other rows and
+    columns stay as they are."""
+    (secrets,) = fresh(docs, "secrets")
+    has, (clean,) = F.size(secrets) > 0, fresh(docs, "clean")
+    out = scan(docs, into=secrets).withColumn(clean, F.when(has, without(F.col("text"), F.col(secrets), mark)).otherwise(F.col("text")))
+    anew = {"text": F.col(clean)} | ({"n_chars": F.when(has, F.char_length(clean).cast("long")).otherwise(F.col("n_chars"))} if "n_chars" in docs.columns else {})
+    return out.select(*(anew.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns))
