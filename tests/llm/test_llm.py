@@ -226,6 +226,52 @@ def test_forward_backward_by_enumeration():
     assert np.allclose(pairs, trans / total)
 
 
+def plain_posteriors(scores, first, move):
+    """Forward and backward over one chain, word by word."""
+    alpha, beta = [np.exp(first + scores[0])], [np.ones(len(first))]
+    for e in scores[1:]:
+        a = (alpha[-1] / alpha[-1].sum()) @ np.exp(move) * np.exp(e)
+        alpha.append(a)
+    for e in scores[:0:-1]:
+        b = np.exp(move) @ (np.exp(e) * beta[-1])
+        beta.append(b / b.sum())
+    post = np.array(alpha) * np.array(beta[::-1])
+    return post / post.sum(1, keepdims=True)
+
+
+def test_chains_are_whole(monkeypatch):
+    """Texts of many segments, and none at all, against a chain without cuts."""
+    rng = np.random.default_rng(4)
+    table = rng.normal(0, 0.3, (50, 3)).astype(np.float32)
+    table[0] = 0
+    model = language_crf.Model(["a", "b", "c"], None, rng.normal(size=3), np.eye(3) * 4 + rng.normal(0, 0.1, (3, 3)))
+    rows = [rng.integers(0, 50, n).astype(np.int32) for n in (1, 0, 64, 65, 700, 128, 63, 2000)]
+    for at_once in (2048, 3):
+        monkeypatch.setattr(language_crf, "SEGMENTS", at_once)
+        sums, each = language_crf.posteriors(rows, model, table, whole=True)
+        for r, total, post in zip(rows, sums, each, strict=True):
+            want = plain_posteriors(table[r].astype(float), model.first, model.move) * (r > 0)[:, None] if len(r) else np.zeros((0, 3))
+            assert np.allclose(post, want, atol=1e-4) and np.allclose(total, want.sum(0), atol=1e-3 * (1 + len(r)))
+
+
+def test_language_of_a_text_without_blanks(spark):
+    """A language that shows only after many signs of one word, and words that differ late."""
+    long = "x" * 44
+    a, b = (np.concatenate([f for f, _ in language_crf.features([p for p in (w[i : i + 40] for i in range(0, len(w), 38))])]) for w in (long + "qwrtz" * 60, long + "aeiou" * 60))
+    assert sorted(a) != sorted(b)
+    docs = [(i, "".join(np.random.default_rng(i).choice(list("qwrtzp"), 300)), "cons") for i in range(30)] + [(100 + i, "".join(np.random.default_rng(i).choice(list("aeiouy"), 300)), "vows") for i in range(30)]
+    docs += [(1000, "7" * 60 + "qwrtzp" * 80, None), (1001, "7" * 60 + "aeiouy" * 80, None), (1002, "qwrtz" * 300_000, None)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r["lang_pred"] for r in language_crf.language_id(df).collect()}
+    assert (got[1000], got[1001], got[1002]) == ("cons", "vows", "cons")
+
+
+def test_language_trains_on_few_ids_without_their_texts(spark):
+    plan = docs_of(spark).select("doc_id", "lang", "text")
+    model = language_crf.train(plan, per_lang=3, chars=500)
+    assert model.langs == sorted({r["lang"] for r in plan.select("lang").distinct().collect()})
+
+
 def test_language_switch_and_odd(spark, odd):
     docs = docs_of(spark)
     model = language_crf.train(docs)
