@@ -528,6 +528,76 @@ def test_jaccard_join_borders(spark):
     assert small and jaccard_join.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_jaccard_join_through_cells(spark, monkeypatch):
+    """Small leaves, so that regions are split by Spark jobs: cells, windows, the rest, and blocks in the end; the
+    components stay those of brute force, on sf0.01 and on groups of near copies."""
+    split, seen = jaccard_join.split_regions, []
+
+    def watched(active):
+        leaves = split(active)
+        before = active.select("region", "k").distinct().count()
+        row = leaves.agg(F.count_distinct("region").alias("regions"), F.count("*").alias("rows"), F.count(F.when(~F.col("own"), 1)).alias("copies"), F.count(F.when(F.col("i") != F.col("j"), 1)).alias("blocks")).first()
+        seen.append((active.select("region").distinct().count(), before, *row))
+        return leaves
+
+    monkeypatch.setattr(jaccard_join, "split_regions", watched)
+    monkeypatch.setattr(jaccard_join, "LEAF_BYTES", 20_000)
+    rng = np.random.default_rng(8)
+    vocab = [f"w{i}" for i in range(9000)]
+    rows = []
+    for _ in range(6):  # families of families: near copies around centres that are some way apart
+        root = list(rng.choice(vocab, 90))
+        for _ in range(5):
+            core = list(root)
+            for p in rng.choice(18, 4, replace=False):
+                core[p * 5] = str(rng.choice(vocab))
+            for _ in range(12):
+                w = list(core)
+                for _ in range(int(rng.integers(0, 3))):
+                    w[int(rng.integers(90))] = str(rng.choice(vocab))
+                rows.append((len(rows), " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert got_components(jaccard_join.near_duplicates(df)) == brute_components(rows)
+    docs = docs_of(spark)
+    assert got_components(jaccard_join.near_duplicates(docs)) == brute_components([(r["doc_id"], r["text"]) for r in docs.collect()])
+    print(seen)
+    regions, before, leaves, held, copies, blocks = seen[0]
+    assert leaves > regions and copies > 0 and held > before
+
+
+def test_cells_hold_every_link(spark):
+    """Split without the first links, every set a component: no link of any pair is lost, whatever the leaf."""
+    rng = np.random.default_rng(2)
+    sets = []
+    for _ in range(12):
+        core = rng.integers(0, 1 << 60, 40)
+        for _ in range(25):
+            s = core.copy()
+            s[rng.integers(0, 40, int(rng.integers(0, 8)))] = rng.integers(0, 1 << 60)
+            sets.append(np.unique(s).astype(np.uint64))
+    want = {(a, b) for a in range(len(sets)) for b in range(a) if jaccard_join.linked(sets[a], sets[b])}
+    rows = [(0, i, i, len(s), True, s.tobytes()) for i, s in enumerate(sets)]
+    active = jaccard_join.stage(spark.createDataFrame(rows, "region long, comp long, k long, n long, own boolean, hashes binary"), "test")
+    for leaf in (3_000, 12_000, 1 << 30):
+        leaves = jaccard_join.stage(jaccard_join.split_regions(active, leaf_bytes=leaf), "leaves").select("region", "i", "j", "block", "k", "own").toPandas()
+        met = set()
+        for (_, i, j), g in leaves.groupby(["region", "i", "j"]):
+            g = list(g[["k", "block", "own"]].itertuples(index=False))
+            met |= {(max(x.k, y.k), min(x.k, y.k)) for x in g for y in g if x.k != y.k and x.own and {x.block, y.block} == {i, j}}
+        assert want <= met
+        assert leaves["region"].nunique() > 3 or leaf == 1 << 30
+
+
+def test_even_join_of_a_frequent_key(spark):
+    from threadloom.llm.common import even_join, stage
+
+    big = stage(spark.range(6000).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("key"), "id"), "big")
+    small = spark.range(0, 6000, 2).select((F.col("id") + 1).alias("key"), (F.col("id") * 10).alias("x"))
+    for how in ("inner", "left"):
+        got, want = even_join(big, small, "key", how), big.join(small, "key", how)
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.columns == want.columns
+
+
 def test_representatives_of_repeated_rows_and_ids(spark, odd):
     a, b, c = ("one two three four five six seven", "a b c d e f g h", "p q r s t u v w")
     near = " ".join(f"w{i}" for i in range(60))

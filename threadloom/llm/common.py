@@ -42,6 +42,33 @@ def stage(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: A table of numbers is broadcast up to so many rows; beyond it joins are shuffled.
+BROADCAST_ROWS = 1_000_000
+
+
+def even_join(big: DataFrame, small: DataFrame, key: str, how: str = "inner", most: int = 100_000) -> DataFrame:
+    """``big`` joined with ``small``, whose ``key`` is unique, without all rows of a frequent key in one task: keys
+    that hold more than a share 1 / ``most`` of the rows are at most ``most``, so their part of ``small`` is
+    broadcast; the others are shuffled. ``big`` is read more than once and should be a written table; ``how`` is
+    inner or left."""
+    total = big.count()
+    least = max(500, total // most)
+    if total <= least:
+        return big.join(small, key, how)
+    hot = stage(big.groupBy(key).count().filter(F.col("count") > least).select(key), "frequent")
+    if hot.isEmpty():
+        return big.join(small, key, how)
+    few = small.join(F.broadcast(hot), key, "left_semi")
+    often = big.join(F.broadcast(hot), key, "left_semi").join(F.broadcast(few), key, how)
+    return often.unionByName(big.join(F.broadcast(hot), key, "left_anti").join(small, key, how))
+
+
+def spread_join(big: DataFrame, small: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """``big`` joined with a table of a few numbers by a unique key: broadcast if its size allows, else ``even_join``.
+    Both should be written tables."""
+    return big.join(F.broadcast(small), key, how) if small.count() <= BROADCAST_ROWS else even_join(big, small, key, how)
+
+
 def slices(batch: pa.RecordBatch, column: int, most: int, rows: int = 512) -> Iterator[pa.RecordBatch]:
     """Parts of a batch, in order, of at most ``rows`` rows and about ``most`` bytes in a column of texts; a
     longer text is a part alone."""
