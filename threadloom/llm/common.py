@@ -133,6 +133,32 @@ def spans(text: Column, pattern: str) -> Column:
     return bound(hits, lambda hs: F.zip_with(hs, running(F.zip_with(F.slice(gaps, F.lit(1), F.size(hs)), hs, size), F.lit(0).cast("long"), lambda a, b: a + b), span))
 
 
+FAR = 1 << 60
+
+
+def _folded(items: Column, value: Callable[[Column], dict[str, Column]], zero: int, op: Callable[..., Column]) -> Column:
+    """Running ``op`` over the numbers of ``value(item)``, by name."""
+    names = list(value(F.element_at(items, 1)))
+    return running(
+        F.transform(items, lambda x: F.struct(*(c.cast("long").alias(n) for n, c in value(x).items()))),
+        F.struct(*(F.lit(zero).cast("long").alias(n) for n in names)),
+        lambda a, b: F.struct(*(op(a[n], b[n]).alias(n) for n in names)),
+    )
+
+
+def with_sides(items: Column, before: Callable[[Column], dict[str, Column]], after: Callable[[Column], dict[str, Column]]) -> Column:
+    """array<struct<x,pre,suf>> of items: beside each, the largest numbers of ``before`` up to it and the smallest of
+    ``after`` from it on, by name."""
+    return bound(items, lambda xs: F.arrays_zip(xs.alias("x"), _folded(xs, before, 0, F.greatest).alias("pre"), F.reverse(_folded(F.reverse(xs), after, FAR, F.least)).alias("suf")))
+
+
+def nearest(items: Column, flags: Callable[[Column], dict[str, Column]]) -> Column:
+    """``with_sides`` for classes of spans: the largest end and the smallest start of each class (conditions by name)."""
+    ends = lambda x: {n: F.when(c, x["end"]).otherwise(F.lit(0)) for n, c in flags(x).items()}
+    starts = lambda x: {n: F.when(c, x["start"]).otherwise(F.lit(FAR)) for n, c in flags(x).items()}
+    return with_sides(items, ends, starts)
+
+
 def no_spans() -> Column:
     return F.array().cast("array<struct<start:bigint,end:bigint,hit:string>>")
 

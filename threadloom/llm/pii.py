@@ -17,28 +17,30 @@ is the lowest score whose cells reach ``PRECISION``. An undecided candidate is a
 high, holds positives and reaches ``PRECISION`` itself; the cue may be there besides. What looks like no
 verified span of the same table is thus never added: without verified phones no number is.
 
-Null text counts as empty and gives no spans. An empty table gives an empty result; with no positives nothing
-is added to the base spans. Candidates that touch a base span add nothing.
+Defined results: null text counts as empty and gives no spans. An empty table gives an empty result; with no
+positives nothing is added to the base spans. Candidates that touch a base span add nothing. Repeated rows get equal
+results and count as often as they come. Ties (spans that start together) are ordered by kind and end. Work columns get
+names that the input does not have, so extra columns of any name do no harm. Texts of any length and of any number of
+matches take time in proportion.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import joined, labelled, no_spans, spans, stage
+from threadloom.llm.common import FAR, fresh, joined, labelled, no_spans, spans, stage, with_sides
 
-#: Fixed patterns of the base kinds.
-EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"
-IP = r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"
-CARD = r"[0-9]([\x20-]?[0-9])+"
+#: Fixed patterns of the base kinds, written so that long runs cost no more than their length: a match starts where a
+#: run does or the last match ended, and what is taken is not given back.
+EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
+IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]+"
+CARD = r"[0-9]++(?:[\x20-][0-9]++)*+(?<=[0-9][\x20-]?[0-9])"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 #: Wider generators.
 NUMBER = r"[+(]?[0-9][0-9\x20().-]{6,}[0-9]"
-ADDRESS = r"(?i)[a-z0-9._%+-]+(?:@|\x20?[(\[]at[)\]]\x20?)[a-z0-9-]+(?:(?:\.|\x20?[(\[]dot[)\]]\x20?)[a-z0-9-]+)+"
+ADDRESS = r"(?i)(?:\G|(?<![a-z0-9._%+-]))[a-z0-9._%+-]++(?:@|\x20?[(\[]at[)\]]\x20?)[a-z0-9-]+(?:(?:\.|\x20?[(\[]dot[)\]]\x20?)[a-z0-9-]+)+"
 KINDS = ("email", "ip", "card", "phone")
 ROUNDS, RATE, PRECISION = 24, 0.4, 0.98
 #: Names of the feature bits, lowest first. All but the first two and the last two are of numbers only.
@@ -106,25 +108,37 @@ def candidates(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str =
     def of(pattern: str, guard: Column) -> Column:
         return F.when(guard, spans(t, pattern)).otherwise(no_spans())
 
-    found = docs.withColumns({
+    names = dict(zip((*KINDS, "number", "address", "beside"), fresh(docs, *KINDS, "number", "address", "beside"), strict=True))
+    small = lambda p: (F.length(F.ltrim(p, F.lit("0"))) <= 3) & (F.coalesce(F.try_to_number(F.ltrim(p, F.lit("0")), F.lit("999")), F.lit(0)) <= 255)
+    base = {
         "email": of(EMAIL, t.contains("@")),
-        "ip": F.filter(of(IP, t.rlike(r"[0-9]\.[0-9]+\.[0-9]+\.[0-9]")), lambda x: F.forall(F.split(x["hit"], r"\."), lambda p: (F.length(F.ltrim(p, F.lit("0"))) <= 3) & (F.coalesce(F.try_to_number(F.ltrim(p, F.lit("0")), F.lit("999")), F.lit(0)) <= 255))),
+        "ip": F.filter(of(IP, t.rlike(r"[0-9]\.[0-9]+\.[0-9]+\.[0-9]")), lambda x: F.forall(F.split(x["hit"], r"\."), small)),
         "card": F.filter(of(CARD, t.rlike(r"[0-9](?:[\x20-]?[0-9]){12}")), lambda x: F.length(digits_of(x["hit"])).between(13, 19) & luhn(digits_of(x["hit"]))),
         "phone": F.filter(of(PHONE, t.rlike(r"\+[0-9]")), lambda x: F.length(digits_of(x["hit"])).between(9, 15)),
-        "_number": of(NUMBER, t.rlike(r"[0-9][0-9\x20().-]{6,}[0-9]")),
-        "_address": of(ADDRESS, t.rlike(r"(?i)@|[(\[]at[)\]]")),
-    })
-    every = F.concat(*KINDS)
-    touches = lambda x: F.exists(every, lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"]))
-    is_base = lambda x: F.exists(every, lambda y: (y["start"] == x["start"]) & (y["end"] == x["end"]))
-
-    def rated(c: str, bits: Callable[[Column, Column], Column], fails: Callable[[Column, Column], Column]) -> Column:
-        label = lambda x: F.when(is_base(x), F.lit(True)).when(fails(t, x), F.lit(False))
-        return F.transform(F.filter(c, lambda x: is_base(x) | ~touches(x)), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), bits(t, x).alias("bits"), label(x).alias("label")))
-
-    proposed = F.concat(rated("_number", _number_bits, _fails), rated("_address", _address_bits, _glued))
-    slim = lambda c: F.transform(c, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))
-    return found.select(*keep, *(slim(F.col(k)).alias(k) for k in KINDS), proposed.alias("proposed"))
+        "number": of(NUMBER, t.rlike(r"[0-9][0-9\x20().-]{6,}[0-9]")),
+        "address": of(ADDRESS, t.rlike(r"(?i)@|[(\[]at[)\]]")),
+    }
+    found = docs.withColumns({names[k]: c for k, c in base.items()})
+    # spans by start, base spans first: how a candidate lies to them follows from running ends, keys and starts
+    slim = lambda c, rank: F.transform(c, lambda x: F.struct(x["start"].alias("start"), F.lit(rank).alias("rank"), x["end"].alias("end"), x["hit"].alias("hit")))
+    every = F.array_sort(F.concat(*(slim(names[k], 0) for k in KINDS), slim(names["number"], 1), slim(names["address"], 2)))
+    key = lambda x: x["start"] * F.lit(1 << 31) + x["end"]
+    base_only = lambda x, value, none: F.when(x["rank"] == 0, value).otherwise(F.lit(none))
+    sides = with_sides(every, lambda x: {"end": base_only(x, x["end"], 0), "key": base_only(x, key(x), 0)}, lambda x: {"start": base_only(x, x["start"], FAR)})
+    apart = lambda r: (r["pre"]["end"] <= r["x"]["start"]) & (r["suf"]["start"] >= r["x"]["end"])
+    is_base = lambda r: r["pre"]["key"] == key(r["x"])
+    some = F.size(names["number"]) + F.size(names["address"]) > 0
+    found = found.withColumn(names["beside"], F.when(some, F.filter(sides, lambda r: (r["x"]["rank"] > 0) & (is_base(r) | apart(r)))))
+
+    def rated(r: Column) -> Column:
+        x, number = r["x"], r["x"]["rank"] == 1
+        bits = F.when(number, _number_bits(t, x)).otherwise(_address_bits(t, x))
+        label = F.when(is_base(r), F.lit(True)).when(F.when(number, _fails(t, x)).otherwise(_glued(t, x)), F.lit(False))
+        return F.struct(x["start"].alias("start"), x["end"].alias("end"), bits.alias("bits"), label.alias("label"))
+
+    none = F.array().cast("array<struct<start:bigint,end:bigint,bits:int,label:boolean>>")
+    spans_only = lambda c: F.transform(c, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))
+    return found.select(*keep, *(spans_only(F.col(names[k])).alias(k) for k in KINDS), F.coalesce(F.transform(names["beside"], rated), none).alias("proposed"))
 
 
 def boost(cells: list[tuple[int, int, int]], rounds: int = ROUNDS, rate: float = RATE) -> list[tuple[int, int, tuple[float, float, float, float]]]:

@@ -22,7 +22,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import bound, fresh, joined, labelled, no_spans, running, spans
+from threadloom.llm.common import bound, fresh, joined, labelled, nearest, no_spans, running, spans
 
 #: Fixed patterns of the strong kinds. For the last two the least length is asked in the pattern: their matches are
 #: whole runs, so those that are long enough stay the same. A short assigned value still uses up its text.
@@ -39,7 +39,6 @@ BORDER = r"\n[\x20\t\r]*\n|\}[\s,]*\{"
 REACH = 160
 KINDS = ("assign", "access", "hex", "ident", "weak", "endpoint", "mixed")
 STRONG, SECRET, BREAK = 3, (0, 2, 4, 6), len(KINDS)
-FAR = 1 << 60
 #: Literal parts, one of which every match of a pattern holds in lower case.
 HINTS = {
     ASSIGN: ("passw", "secret", "token", "apikey", "api_key"), IDENT: ("user", "login", "clientid", "client_id", "account", "accessid", "access_id", "keyid", "key_id"),
@@ -47,30 +46,12 @@ HINTS = {
 }
 
 
-def _folded(items: Column, value, zero: int, op) -> Column:
-    """Running ``op`` over the fields of ``value(item)``, a dict of numbers."""
-    names = list(value(F.element_at(items, 1)))
-    return running(
-        F.transform(items, lambda x: F.struct(*(c.cast("long").alias(n) for n, c in value(x).items()))),
-        F.struct(*(F.lit(zero).cast("long").alias(n) for n in names)),
-        lambda a, b: F.struct(*(op(a[n], b[n]).alias(n) for n in names)),
-    )
-
-
-def _with_sides(items: Column, flags) -> Column:
-    """array<struct<x,pre,suf>>: beside each item, for each class of ``flags(item)`` (a dict of conditions), the
-    largest end up to it and the smallest start from it on."""
-    ends = lambda x: {n: F.when(c, x["end"]).otherwise(F.lit(0)) for n, c in flags(x).items()}
-    starts = lambda x: {n: F.when(c, x["start"]).otherwise(F.lit(FAR)) for n, c in flags(x).items()}
-    return bound(items, lambda xs: F.arrays_zip(xs.alias("x"), _folded(xs, ends, 0, F.greatest).alias("pre"), F.reverse(_folded(F.reverse(xs), starts, FAR, F.least)).alias("suf")))
-
-
 def _linked(items: Column) -> Column:
     """Of items (parts and borders) sorted by start: the strong ones, and the weak ones that overlap none of them
     and have a complement in reach."""
     strong = lambda x: x["rank"] < STRONG
-    free = F.filter(_with_sides(items, lambda x: {"s": strong(x)}), lambda r: (r["x"]["rank"] < STRONG) | ((r["pre"]["s"] <= r["x"]["start"]) & (r["suf"]["s"] >= r["x"]["end"])))
-    sides = _with_sides(F.transform(free, lambda r: r["x"]), lambda x: {"secret": x["rank"].isin(*SECRET), "other": ~x["rank"].isin(*SECRET) & (x["rank"] < BREAK), "cut": x["rank"] == BREAK})
+    free = F.filter(nearest(items, lambda x: {"s": strong(x)}), lambda r: (r["x"]["rank"] < STRONG) | ((r["pre"]["s"] <= r["x"]["start"]) & (r["suf"]["s"] >= r["x"]["end"])))
+    sides = nearest(F.transform(free, lambda r: r["x"]), lambda x: {"secret": x["rank"].isin(*SECRET), "other": ~x["rank"].isin(*SECRET) & (x["rank"] < BREAK), "cut": x["rank"] == BREAK})
 
     def near(r: Column, kind: str) -> Column:
         left = (r["pre"][kind] > r["pre"]["cut"]) & (r["pre"][kind] >= r["x"]["start"] - REACH)
