@@ -1,16 +1,18 @@
 """Mixing sources to target weights by entropy balancing.
 
 Documents get rates exp(sum of their margins' multipliers); the convex dual
-``sum(cell tokens * exp(x . lam)) - lam . targets`` is solved by Newton steps. Each step is a Spark job:
-documents are pre-aggregated to cells (one row per combination of margin values), every cell's tilted
-mass goes to the gradient and the Hessian by ``groupBy``, and the driver solves a system with one unknown
-per margin value. Rates become whole copies by carrying the rounding error from long to short documents
-within shards of a source (at most ``SHARD`` documents or so), so each shard misses its target by about
-the size of its smallest documents.
-
-Sizes count words; null or empty text has size 0 and is taken once at most with 0 words. Null sources are
-a source of their own, last in order. Ties and repeated rows are ordered by size, then doc_id; equal rows
-are interchangeable. An empty table gives an empty result.
+``sum(cell tokens * exp(x . lam)) - lam . targets`` is solved by Newton steps, each a Spark job over pre-aggregated
+cells. With one margin (the sources of the query) the unknowns do not meet, and gradient, curvature and step are columns
+of the table of sources, however many there are (``newton_rates``). With several margins that cross
+(``newton_dual``) the cells' tilted masses go to the gradient and the Hessian by ``groupBy`` and the driver solves a
+system with one unknown per margin value, which must be few. Rates become whole copies by carrying the rounding error
+from long to short documents within shards of a source (at most ``SHARD`` documents or so), so each shard misses its
+target by about the size of its smallest documents.
+
+Defined results: sizes count words; null or empty text has size 0 and is taken once at most with 0 words. Null sources
+are a source of their own, last in order. Ties and repeated rows are ordered by size, then doc_id; equal rows
+are interchangeable. An empty table gives an empty result. Very long texts are counted in place. ``entropy_mix`` reads
+doc_id, text and source only; ``materialise`` keeps all columns, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,10 +22,10 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import WORD, stage
+from threadloom.llm.common import WORD, fresh, spread_join, stage
 
 WEIGHTS, MOST, SHARD = (5, 2, 1), 3.0, 2048
 MAX_STEPS, TOLERANCE = 60, 1e-10
@@ -54,6 +56,24 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, most: flo
     return table.select("source", "source_size", "n", F.least(F.col("cap"), F.coalesce(reached, F.col("ratio")) * F.col("w")).cast("double").alias("target"))
 
 
+def newton_rates(goals: DataFrame, mass: str = "source_size", target: str = "target") -> DataFrame:
+    """``goals`` with ``rate``: the dual of one margin, where each value has an unknown of its own. Its Hessian is
+    diagonal, so a Newton step is a column of the table: gradient ``mass * exp(lam) - target`` over curvature
+    ``mass * exp(lam)``, downward at most by one. A step is a Spark job over all rows; only the largest error comes
+    back. Values without mass or target get rate 0."""
+    (lam,) = fresh(goals, "lam")
+    active = (F.col(mass) > 0) & (F.col(target) > 0)
+    table = stage(goals.withColumn(lam, F.when(active, F.lit(0.0))), "newton")
+    tilted = F.col(mass) * F.exp(lam)
+    for _ in range(MAX_STEPS):
+        worst = table.agg(F.max(F.abs(tilted - F.col(target)) / F.col(target)).alias("x")).first()["x"]
+        if worst is None or worst < TOLERANCE:
+            break
+        step = F.greatest(F.lit(-20.0), F.least(F.lit(20.0), (F.col(target) - tilted) / tilted))
+        table = stage(table.withColumn(lam, F.col(lam) + step), "newton")
+    return table.withColumn("rate", F.coalesce(F.exp(lam), F.lit(0.0))).drop(lam)
+
+
 def newton_dual(cells: DataFrame, targets: dict[tuple[str, object], float], margins: Sequence[str], mass: str = "mass") -> dict[tuple[str, object], float]:
     """Multipliers by (margin, value). ``cells``: one row per combination of margin values, with its mass.
 
@@ -119,18 +139,17 @@ def carried(pdf: pd.DataFrame) -> pd.DataFrame:
     return pdf.assign(copies=copies)
 
 
+def keyed(name: str) -> Column:
+    """A key that is null for nothing: a mark before the value."""
+    return F.coalesce(F.concat(F.lit("="), F.col(name)), F.lit("null"))
+
+
 def entropy_mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, most: float = MOST) -> DataFrame:
     """doc_id, source, size, source_size, target, rate, copies, one row per document."""
-    sizes = stage(sized(docs), "sizes")
-    goals = stage(source_targets(sizes, weights, most), "targets")
-    cells = stage(sizes.groupBy("source").agg(F.sum("size").alias("mass")), "cells")
-    targets = {("source", r["source"]): r["target"] for r in goals.collect()}  # a row per source
-    lam = newton_dual(cells, targets, ["source"])
-    rates = [(k[1], math.exp(v)) for k, v in lam.items()]
-    spark = docs.sparkSession
-    table = goals.join(spark.createDataFrame(rates, "of string, rate double"), F.col("source").eqNullSafe(F.col("of")), "left").drop("of")
-    table = table.withColumn("rate", F.least(F.coalesce("rate", F.lit(0.0)), F.lit(float(most))))
-    all_docs = sizes.join(F.broadcast(table.withColumnRenamed("source", "of")), F.col("source").eqNullSafe(F.col("of")))  # a row per source, as collected above
+    sizes = stage(sized(docs).withColumn("of", keyed("source")), "sizes")
+    goals = newton_rates(stage(source_targets(sizes, weights, most), "targets"))
+    table = stage(goals.select(keyed("source").alias("of"), "source_size", "n", "target", F.least(F.col("rate"), F.lit(float(most))).alias("rate")), "rates")
+    all_docs = spread_join(sizes, table, "of")
     shard = F.pmod(F.xxhash64("doc_id", "size"), F.ceil(F.col("n") / SHARD).cast("long")).alias("shard")
     placed = all_docs.select("doc_id", "source", "size", "source_size", "target", "rate", shard)
     schema = "doc_id long, source string, size long, source_size long, target double, rate double, shard long, copies int"
@@ -142,7 +161,9 @@ def digest(mixed: DataFrame) -> DataFrame:
 
 
 def materialise(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` repeated by their copies. Rows that share a doc_id share one decision."""
-    copies = entropy_mix(docs).groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").alias("_copies"))
-    rows = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("_id")))
-    return rows.filter("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    """The rows of ``docs`` repeated by their copies, all columns as they were. Rows that share a doc_id share one
+    decision, the largest number of copies of any."""
+    an_id, copies, one = fresh(docs, "id", "copies", "copy")
+    decided = entropy_mix(docs).groupBy(F.col("doc_id").alias(an_id)).agg(F.max("copies").alias(copies))
+    rows = docs.join(decided, F.col("doc_id").eqNullSafe(F.col(an_id)))
+    return rows.filter(F.col(copies) > 0).withColumn(one, F.explode(F.sequence(F.lit(1), F.col(copies)))).drop(an_id, copies, one)
