@@ -78,21 +78,32 @@ def _posterior_sql(children: str, parents: str, key: str) -> str:
     return f"SELECT c.*, c.bad + p.strength * p.a / (p.a + p.b) AS a, c.n - c.bad + p.strength * (1 - p.a / (p.a + p.b)) AS b FROM {children} c JOIN {parents} p USING ({key})"
 
 
-DOMAIN_SQL, SUFFIX_SQL = "regexp_extract({}, '([^.]*[.])?[^.]*$')", "regexp_extract({}, '[^.]*$')"
+def _site_sql(host: str) -> str:
+    return f"regexp_replace(regexp_replace(regexp_replace({host}, '^[^@]*@', ''), ':[0-9]*$', ''), '[.]$', '')"
 
+
+def _domain_sql(site: str) -> str:
+    return f"CASE WHEN regexp_matches({site}, '{IP_SQL}') THEN {site} ELSE regexp_extract({site}, '{url_filter.DOMAIN}', 1) END"
+
+
+def _suffix_sql(site: str) -> str:
+    return f"CASE WHEN regexp_matches({site}, '{IP_SQL}') THEN 'ip' ELSE ltrim(regexp_extract({site}, '{url_filter.SUFFIX}', 1), '.') END"
+
+
+IP_SQL = url_filter.IP
 URL_SQL = f"""
 WITH u AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
 p AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
 judged AS (SELECT doc_id, max(CAST(quality = 0 OR toxic = 1 AS INTEGER)) AS bad FROM labels GROUP BY 1),
-seen AS (SELECT host, bad FROM (SELECT host, TRY_CAST(regexp_extract(path, '/([0-9]{{1,18}})(?:[.]html)?/?$', 1) AS BIGINT) AS doc_id FROM p) JOIN judged USING (doc_id) WHERE bad IS NOT NULL),
-hosts AS (SELECT host, count(*) AS n, sum(bad) AS bad, {DOMAIN_SQL.format('host')} AS domain FROM seen GROUP BY 1),
-domains AS (SELECT *, {SUFFIX_SQL.format('domain')} AS suffix FROM ({_prior_sql('hosts', 'domain')})),
+seen AS (SELECT host, bad FROM (SELECT {_site_sql('host')} AS host, TRY_CAST(regexp_extract(path, '/([0-9]{{1,18}})(?:[.]html)?/?$', 1) AS BIGINT) AS doc_id FROM p) JOIN judged USING (doc_id) WHERE bad IS NOT NULL),
+hosts AS (SELECT host, count(*) AS n, sum(bad) AS bad, {_domain_sql('host')} AS domain FROM seen GROUP BY 1),
+domains AS (SELECT *, {_suffix_sql('domain')} AS suffix FROM ({_prior_sql('hosts', 'domain')})),
 suffixes AS (SELECT *, 0 AS root FROM ({_prior_sql('domains', 'suffix')})),
 roots AS (SELECT *, bad + 1 AS a, n - bad + 1 AS b FROM ({_prior_sql('suffixes', 'root')})),
 of_suffix AS ({_posterior_sql('suffixes', 'roots', 'root')}),
 of_domain AS ({_posterior_sql('domains', 'of_suffix', 'suffix')}),
 of_host AS ({_posterior_sql('hosts', 'of_domain', 'domain')}),
-posts AS (SELECT p.*, coalesce(h.a, d.a, s.a, r.a, 1) AS a, coalesce(h.b, d.b, s.b, r.b, 1) AS b FROM p LEFT JOIN of_host h ON h.host = p.host LEFT JOIN of_domain d ON d.domain = {DOMAIN_SQL.format('p.host')} LEFT JOIN of_suffix s ON s.suffix = {SUFFIX_SQL.format('p.host')} LEFT JOIN roots r ON true),
+posts AS (SELECT p.*, coalesce(h.a, d.a, s.a, r.a, 1) AS a, coalesce(h.b, d.b, s.b, r.b, 1) AS b FROM (SELECT *, {_site_sql('host')} AS site FROM p) p LEFT JOIN of_host h ON h.host = p.site LEFT JOIN of_domain d ON d.domain = {_domain_sql('p.site')} LEFT JOIN of_suffix s ON s.suffix = {_suffix_sql('p.site')} LEFT JOIN roots r ON true),
 ruled AS (SELECT *, a / (a + b) AS m, CASE
   WHEN (host = 'www.example.com' OR ends_with(host, '.www.example.com')) AND starts_with(path, '/en/') THEN 'www.example.com/en/'
   WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/en/') THEN 'example.com/en/'
@@ -104,5 +115,17 @@ SELECT page_id, host, path, rule, CASE WHEN rule IN ('www.example.com/en/', 'com
 """
 
 
+#: Every pair that shares a shingle is counted, and links are followed from every document.
+JACCARD_SQL = """
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= 5 THEN [array_to_string(ws[i:i + 4], ' ') for i in range(1, len(ws) - 3)] WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS sh FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b USING (sh) WHERE a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)),
+r(v, o) AS (SELECT doc_id, doc_id FROM documents UNION SELECT l.b, r.o FROM r JOIN l ON l.a = r.v)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.low AS component_id FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT v, min(o) AS low FROM r GROUP BY 1) c ON c.v = d.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_url_filter": URL_SQL}
+    return {"op3_url_filter": URL_SQL, "op9_jaccard_join": JACCARD_SQL}
