@@ -4,12 +4,14 @@ A text is a bag of passages of ``PASSAGE`` bytes. Each passage is encoded from t
 classes and of pairs of them, and from how many of its four-byte runs are distinct. A hidden layer, gated
 attention (tanh times sigmoid) and a logistic output are learned from document labels; the score is that
 of the weighted passage representation. The fit uses at most ``TRAIN_DOCS`` labelled documents, those with
-the smallest hash of their id and at most ``TRAIN_CHARS`` characters; scoring covers all passages of all
-texts.
-
-Null and empty texts are one passage of zeros and get a score. Without labels of both classes every score
-is the share of label 1, or 0.5. Repeated labels of a document count as the largest. Null ids are not held
-out.
+the smallest hash of their id, and of a long one a part of ``TRAIN_CHARS`` characters; scoring covers all passages of
+all texts.
+
+Defined results: null and empty texts are one passage of zeros and get a score. Without labels of both classes every
+score is the share of label 1, or 0.5. Repeated labels of a document count as the largest; of repeated rows of one id
+the smallest text trains, and each row gets its score, equal texts equal ones. Null ids are not held out. An empty
+table gives an empty result. A score of exactly 0.5 counts as label 1. Extra columns of any name pass through
+``keep_mask`` and are not read by ``scored``. A very long text is scored alone; its features are held in blocks.
 """
 
 from __future__ import annotations
@@ -139,12 +141,16 @@ def fit(texts: list[str], labels: list[int], seed: int = 11) -> Model:
     return m
 
 
-def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> Model:
-    """Ids of the sample come from ``labels`` alone; the join with texts then keeps only those."""
+def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, chars: int = TRAIN_CHARS) -> Model:
+    """Ids of the sample come from ``labels`` alone; the join with texts then keeps only those, and of a long text the
+    part of ``chars`` characters that the hash of its id picks."""
     one = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("quality").cast("int").alias("y"))
     some = one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_docs)
-    texts = docs.select("doc_id", "text").filter(F.length(F.coalesce("text", F.lit(""))) <= TRAIN_CHARS)
-    rows = sorted((r["doc_id"], r["text"] or "", r["y"]) for r in texts.join(F.broadcast(some), "doc_id").dropDuplicates(["doc_id"]).collect())  # train_docs rows at most
+    t = F.coalesce("text", F.lit(""))
+    at = F.pmod(F.xxhash64("doc_id"), F.greatest(F.lit(1), F.length(t) - chars + 1)).cast("int") + 1
+    texts = docs.select("doc_id", F.when(F.length(t) > chars, F.substr(t, at, F.lit(chars))).otherwise(t).alias("text"))
+    chosen = texts.join(F.broadcast(some), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").alias("y"))  # train_docs rows at most
+    rows = sorted((r["doc_id"], r["text"], r["y"]) for r in chosen.collect())
     return fit([r[1] for r in rows], [int(r[2] == 1) for r in rows])
 
 
