@@ -45,7 +45,7 @@ from threadloom.llm.common import BROADCAST_ROWS, even_join, fresh, release, sli
 WORDS, NUM, DEN = 5, 3, 4  # five words; similarity of NUM / DEN or more
 LEAF, PIVOTS, NEAR = 128, 8, 0.5
 #: Bytes of hashes that one task joins, and how often a region is split by cells before it is dealt by blocks.
-LEAF_BYTES, SPLITS = 4 << 20, 8
+LEAF_BYTES, SPLITS = 1 << 20, 8
 #: Components with one prefix shingle are told apart by pairs up to so many; of more, all are taken to be near.
 CROWD = 64
 #: Shingles of more than ``HOT`` classes come last in prefixes, the ``HOT_MOST`` most frequent of them at most.
