@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from threadloom.functions import codecs, text
 from threadloom.operators import rules, search
+from threadloom.plans import library  # noqa: F401
 from threadloom.plans.catalogue import ORACLE_SQL, QUERIES
 from threadloom.sources import readers
 
@@ -63,7 +64,7 @@ def test_extension(spark, given, want):
 
 def test_subject(spark):
     x = one(spark, text.subject_parts, 'description [1/2] - "filename" yEnc (3/4)')
-    assert tuple(x) == ("description", "filename", 1, 2, 3, 4)
+    assert tuple(x) == ("description", "filename", 1, 2, 3, 4, None)
     assert one(spark, text.subject_parts, "nothing of the kind") is None
 
 
@@ -72,6 +73,7 @@ def test_article_lines(spark):
     r = readers.article_lines(spark.createDataFrame([(line,), ("",), ("short\tline",)], "value string")).collect()
     assert len(r) == 1 and r[0]["id"] == "id@host" and r[0]["article_no"] == 12929673602 and r[0]["posted"] == dt.datetime(2014, 7, 24, 2, 1, 2)
     assert (r[0]["size"], r[0]["lines"], r[0]["xgroups"]) == (338850, 5363, {"a.b": 1, "c.d": 2, "e.f": 0, "g.h": 4})
+    assert r[0]["host"] == "news"
 
 
 @pytest.mark.parametrize(("line", "want"), [("alt.binaries.l2g 0 0 y", (0, 0, 0, ["y"])), ("alt.binaries.l2g 400 12 y", (400, 12, 388, ["y"])), ("alt.binaries.l2g 400 40", (400, 40, 360, [])), ("alt.binaries.l2g 500 499 y", (500, 499, 0, ["y"])), ("a.b -1 2 y", None), ("a.b x y", None), ("", None)])
@@ -103,7 +105,7 @@ def test_rule_file(spark):
         rules.Rule("", {"size_above": 1})
 
 
-@pytest.mark.parametrize(("subject", "score", "kept"), [('"show.mkv" yEnc', 25, True), ("a.mkv.001", 25, True), ("x.jpg", 15, True), ("x.r07", 25, True), ("x.par2", 10, True), ("run.exe now", 0, False)])
+@pytest.mark.parametrize(("subject", "score", "kept"), [('"show.mkv" yEnc', 25, True), ('"a.mkv.001" y', 25, True), ('"x.jpg" y', 15, True), ("x.r07 y", 25, True), ('"x.par2" y', 10, True), ("run.exe now", 0, False), ("x.exe-notes", 0, True), *((f'"what.a.show.{e}" y', 0, False) for e in "exe pif application gadget msi msp com scr hta cpl msc jar bat vb vbs vbe js jse ws wsf ps1 ps1xml ps2 ps2xml psc1 psc2 msh msh1 msh1xml msh2 msh2xml scf lnk inf reg".split())])
 def test_preset(spark, subject, score, kept):
     df = spark.createDataFrame([("alt.binaries.x", subject)], "group string, subject string")
     rows = rules.apply(df, rules.PRESET_SCORES, black=rules.PRESET_BLACK).collect()

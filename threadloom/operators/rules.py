@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from functools import reduce
 from operator import and_, or_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 
@@ -21,7 +21,7 @@ def starts_matching(column: Column, pattern: str, any_case: bool = True) -> Colu
 TESTS = {
     "subject_regex": lambda v: starts_matching(F.col("subject"), v), "subject_starts": lambda v: F.col("subject").startswith(v), "subject_ends": lambda v: F.col("subject").endswith(v),
     "poster_regex": lambda v: starts_matching(F.col("poster"), v), "poster_starts": lambda v: F.col("poster").startswith(v), "poster_ends": lambda v: F.col("poster").endswith(v),
-    "score_above": lambda v: F.col("score") > v, "score_below": lambda v: F.col("score") < v, "lines_above": lambda v: F.col("lines") > v, "lines_below": lambda v: F.col("lines") < v,
+    "score_is": lambda v: F.col("score") == v, "score_above": lambda v: F.col("score") > v, "score_below": lambda v: F.col("score") < v, "lines_above": lambda v: F.col("lines") > v, "lines_below": lambda v: F.col("lines") < v,
     "size_above": lambda v: F.col("size") > v, "size_below": lambda v: F.col("size") < v, "after": lambda v: F.col("posted") > F.lit(v), "before": lambda v: F.col("posted") < F.lit(v),
     "crossposts_above": lambda v: F.cardinality("xgroups") > v, "crossposts_below": lambda v: F.cardinality("xgroups") < v,
 }
@@ -58,13 +58,17 @@ def apply(articles: DataFrame, scores: Sequence[Rule] = (), white: Sequence[Rule
     return scored.filter(F.coalesce(any_of(white) | ~any_of(black), F.lit(True)))
 
 
-DANGEROUS = r".*\.(exe|com|bat|cmd|scr|pif|vbs|js|jar|msi|lnk|reg|dll|cpl|hta|ps1|wsf|sys)\b"
-#: Preset: dangerous names are black everywhere; video, image, archive and recovery names score in alt.bin groups.
-PRESET_BLACK = (Rule(".*", {"subject_regex": DANGEROUS}),)
-PRESET_SCORES = tuple(
-    Rule(r"alt\.bin.*", {"subject_regex": rf".*\.({names})\b"}, n)
-    for names, n in ((r"(?:avi|mkv|mp4|mpe?g|mov|wmv|m4v|iso)(?:\.[0-9]{3})?", 25), ("jpe?g|png|gif|bmp|tiff?", 15), (r"rar|zip|7z|tar|gz|tgz|bz2|[r-z][0-9]{2}", 25), ("par2?", 10))
+#: Endings of names that are dangerous, and endings that score in groups of binaries.
+DANGEROUS = "exe|scf|scr|vb|vbe|vbs|pif|application|gadget|msc|msh|msi|msp|hta|jar|bat|cmd|com|cpl|js|jse|ws|wsf|wsc|wsh|lnk|inf|reg|ps[12](?:xml)?|psc[12](?:xml)?|msh[12](?:xml)?|ms"
+SCORED = (
+    (r"(?:avi|mp4|mpeg|mpg|mkv|mov|asf|ogg|iso|rm)(?:\.[0-9]{3})?", 25),
+    (r"jpe?g|png|bmp|gif", 15),
+    (r"(?:rar|r[0-9]{2}|7z|zip|z[0-9]{2}|tgz|tar\.gz)(?:\.[0-9]{3})?", 25),
+    (r"par2?", 10),
 )
+#: Presets: an ending counts before a blank or a quote.
+PRESET_BLACK = (Rule(".*", {"subject_regex": rf""".*\.(?:{DANGEROUS})[\s"'].*"""}),)
+PRESET_SCORES = tuple(Rule(r"alt\.bin.*", {"subject_regex": rf""".*\.(?:{names})[\s"'].*"""}, n) for names, n in SCORED)
 
 
 def parse_lines(lines: DataFrame) -> DataFrame:
@@ -75,6 +79,22 @@ def parse_lines(lines: DataFrame) -> DataFrame:
     return rows.select(part(1).alias("list"), part(2).alias("field"), part(3).alias("op"), part(4).try_cast("int").alias("score"), part(5).alias("group_regex"), part(6).alias("regex"))
 
 
+def compiled(rows: Sequence[Row]) -> tuple[list[Rule], list[Rule], list[Rule]]:
+    """Rows of a rule file (a few, on the driver) as (score, white, black) rules. The value is a pattern of the
+    subject (S, or no field) or the poster (P). In white and black lists the operator compares the score; a score
+    rule needs a score and no ``<`` or ``>``. Rows that say nothing or not enough are refused."""
+    lists: dict[str, list[Rule]] = {"S": [], "W": [], "B": []}
+    bounds = {"<": "score_below", ">": "score_above", "=": "score_is", None: "score_is"}
+    for r in rows:
+        tests: dict[str, object] = {} if r["regex"] is None else {"poster_regex" if r["field"] == "P" else "subject_regex": r["regex"]}
+        if r["list"] == "S" and (r["score"] is None or r["op"] in ("<", ">")):
+            raise ValueError(f"a score rule needs a score and takes no comparison: {r}")
+        if r["list"] != "S" and r["score"] is not None:
+            tests[bounds[r["op"]]] = r["score"]
+        lists[r["list"]].append(Rule(r["group_regex"], tests, r["score"] or 0))
+    return lists["S"], lists["W"], lists["B"]
+
+
 def by_table(articles: DataFrame, rules: DataFrame) -> DataFrame:
     """Score by a rule table (group_regex, regex, score), for hundreds of rules: rules go by the groups they
     fit first, a join of two small tables, then to articles by equality on the group."""

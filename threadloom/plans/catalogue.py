@@ -120,22 +120,11 @@ def xover_range(spark, sf_dir):
     return table(spark, sf_dir, "events").filter(F.col("event_id").between(100, 300)).select("event_id", "event_type", "user_id")
 
 
-@query("SELECT event_id, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS pos FROM events")
-def xover_by_time(spark, sf_dir):
-    return table(spark, sf_dir, "events").select("event_id", F.row_number().over(Window.partitionBy("event_type").orderBy("ts", "event_id")).cast("long").alias("pos"))
-
-
 @query("SELECT event_id, user_id, ts FROM events ORDER BY user_id, ts, event_id")
 def xover_by_poster_time(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", "user_id", "ts").orderBy("user_id", "ts", "event_id")
 
 
-@query("SELECT min(event_id) FILTER (WHERE ts >= TIMESTAMP '2024-01-10 00:00:00') AS first_no, CAST(count(*) FILTER (WHERE ts < TIMESTAMP '2024-01-10 00:00:00') AS BIGINT) AS before FROM events")
-def seek_by_date(spark, sf_dir):
-    at = F.lit("2024-01-10 00:00:00").cast("timestamp_ntz")
-    return table(spark, sf_dir, "events").agg(F.min(F.when(F.col("ts") >= at, F.col("event_id"))).alias("first_no"), F.count(F.when(F.col("ts") < at, 1)).alias("before"))
-
-
 @query("SELECT event_id, ts FROM events WHERE event_id >= 400 ORDER BY event_id LIMIT 50")
 def keyset_page(spark, sf_dir):
     return table(spark, sf_dir, "events").filter("event_id >= 400").select("event_id", "ts").orderBy("event_id").limit(50)
@@ -223,12 +212,6 @@ def rate_moving_avg(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.floor(F.avg(F.floor(F.col("value") * 100)).over(w)).alias("rate"))
 
 
-@query('SELECT doc_id, CAST(sum(n_chars) OVER (PARTITION BY lang ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS total FROM documents')
-def bytes_running_total(spark, sf_dir):
-    w = Window.partitionBy("lang").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    return table(spark, sf_dir, "documents").select("doc_id", F.sum("n_chars").over(w).alias("total"))
-
-
 @query("SELECT doc_id, md5(text) AS key FROM documents QUALIFY row_number() OVER (PARTITION BY md5(text) ORDER BY doc_id DESC) = 1")
 def upsert_latest(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").select("doc_id", F.md5("text").alias("key"))
@@ -301,27 +284,9 @@ def split_size_bucket(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.split_size(F.col("n_chars") * 3000000).alias("part"))
 
 
-NAMES = ("test.tar.gz", "test.pdf.vol03+4.par2", "test.part00.7z.vol03+4.par2", "test", "show.mkv", "a.r07", "picture.JPG", "list.nzb")
-NAME_SQL = "unnest(['test.tar.gz','test.pdf.vol03+4.par2','test.part00.7z.vol03+4.par2','test','show.mkv','a.r07','picture.JPG','list.nzb']) t(name)"
-
-
-def names(spark, sf_dir):
-    return table(spark, sf_dir, "region").select("r_regionkey", F.explode(F.array(*map(F.lit, NAMES))).alias("name"))
-
-
-@query(f"SELECT r_regionkey, name, regexp_extract(name, '((?:\\.part[0-9]+)?(?:\\.[A-Za-z7][A-Za-z0-9]{{0,4}}|\\.[0-9]{{3}})?(?:\\.vol[0-9]+\\+[0-9]+)?\\.[A-Za-z0-9]{{1,5}})$', 1) AS ext FROM region, {NAME_SQL}")
-def ext_from_name(spark, sf_dir):
-    return names(spark, sf_dir).select("r_regionkey", "name", text.extension(F.col("name")).alias("ext"))
-
-
-@query(f"SELECT r_regionkey, name, CASE WHEN name LIKE '%.par2' THEN 'application/x-par2' WHEN name LIKE '%.r07' THEN 'application/x-rar-compressed' WHEN name LIKE '%.gz' THEN 'application/gzip' WHEN name LIKE '%.nzb' THEN 'application/x-nzb' WHEN name LIKE '%.JPG' THEN 'image/jpeg' WHEN name LIKE '%.mkv' THEN 'video/x-matroska' ELSE 'application/octet-stream' END AS mime FROM region, {NAME_SQL}")
-def mime_from_name(spark, sf_dir):
-    return names(spark, sf_dir).select("r_regionkey", "name", text.type_of_name(F.col("name")).alias("mime"))
-
-
-@query("""SELECT doc_id, 'post ' || doc_id AS descr, 'f' || doc_id || '.bin' AS fname, 1 AS index, 2 AS count, 3 AS part, 4 AS parts FROM documents""")
+@query("""SELECT doc_id, 'post ' || doc_id AS descr, 'f' || doc_id || '.bin' AS fname, 1 AS index, 2 AS count, 3 AS part, 4 AS parts, n_chars AS size FROM documents""")
 def subject_parse(spark, sf_dir):
-    s = F.format_string('post %d [1/2] - "f%d.bin" yEnc (3/4)', F.col("doc_id"), F.col("doc_id"))
+    s = F.format_string('post %d [1/2] - "f%d.bin" yEnc (3/4) %d', F.col("doc_id"), F.col("doc_id"), F.col("n_chars"))
     return table(spark, sf_dir, "documents").select("doc_id", text.subject_parts(s).alias("x")).select("doc_id", "x.*")
 
 
