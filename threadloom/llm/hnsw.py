@@ -1,13 +1,16 @@
 """Approximate nearest neighbours: a hierarchical navigable small-world graph per shard.
 
 Vectors are made unit length; equal vectors are first joined into one class with its smallest ids, which
-is exact as ties go to smaller ids. Classes are dealt to shards of about ``SHARD`` vectors by hash. Each
+is exact as ties go to smaller ids. Classes are dealt to shards by hash; a shard holds the mean of ``SHARD`` and of
+all that there are, at most ``LARGEST``, so that shards grow with the table while a task's memory stays bounded. Each
 shard builds its graph: levels drawn by hash, points inserted in blocks by beam search over flat
 neighbour arrays, neighbours chosen by the diversity rule, back links cut to the nearest. All queries
-search all shards by beam, shard results merge by a top-k per query, and the found vectors are scored
-again in double precision on the original values.
+search all shards by beam; a task is a shard with at most about ``QUERIES`` of them, and beyond that the shard's graph
+is built in several tasks. Shard results merge by a top-k per query, and the found vectors are scored
+again in double precision on the original values. Work grows with queries times shards.
 
-Vectors that are null, zero, or hold null or non-finite components take no part, neither as queries. With
+Defined results: an empty table gives an empty result. Ties in score go to the smaller vec_id. Only vec_id and
+embedding are read, so extra columns of any name do no harm. Vectors that are null, zero, or hold null or non-finite components take no part, neither as queries. With
 fewer than k candidates all are returned. Vectors of another length than the query's are never compared:
 shards are dealt by length as well. Null ids take no part.
 
@@ -28,7 +31,7 @@ from pyspark.sql import functions as F
 
 from threadloom.llm.common import stage
 
-SHARD, LINKS, EF_BUILD, EF, BLOCK = 8192, 16, 64, 96, 256
+SHARD, LARGEST, QUERIES, LINKS, EF_BUILD, EF, BLOCK = 8192, 65_536, 250_000, 16, 64, 96, 256
 
 
 def _hash01(x: np.ndarray) -> np.ndarray:
@@ -172,14 +175,19 @@ def search(vectors: DataFrame, every: int = 50, k: int = 5, shard: int = SHARD,
     rows = stage(whole.dropDuplicates(["vec_id", "cls"]).withColumn("mark", F.xxhash64("cls")), "rows")
     ranked = rows.withColumn("r", F.row_number().over(by_id)).filter(F.col("r") <= k + 1)
     classes = stage(ranked.groupBy("cls", "mark").agg(F.min_by("v", "vec_id").alias("v"), F.sort_array(F.collect_list("vec_id")).alias("ids")), "classes")  # k + 1 ids at most
-    n = max(1, -(-classes.count() // shard))
+    total = classes.count()
+    n = max(1, -(-total // min(LARGEST, max(shard, int((shard * total) ** 0.5)))))
     # an id has so many vectors at most, and k ids besides the query's are among so many classes
     wide = (2 * k + 2) * (rows.groupBy("vec_id").count().agg(F.max("count")).first()[0] or 1)
     asked = rows.filter(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), F.col("mark").alias("query_mark"), "v")
-    blocks = asked.select("query_id", "v", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("shard"), F.lit(1).alias("asks"), "query_mark")
+    turns = max(1, -(-asked.count() // QUERIES))
+    every_shard, every_turn = (F.explode(F.sequence(F.lit(0), F.lit(k - 1))) for k in (n, turns))
+    turn = F.pmod(F.xxhash64("query_id", "query_mark"), F.lit(turns)).cast("int")
+    blocks = asked.select("query_id", "v", turn.alias("turn"), every_shard.alias("shard"), F.lit(1).alias("asks"), "query_mark")
     # classes may begin with the same id, so a class is known by its first id and mark
-    dealt = classes.select(F.col("ids")[0].alias("query_id"), "v", F.pmod("mark", F.lit(n)).cast("int").alias("shard"), F.lit(0).alias("asks"), F.col("mark").alias("query_mark"))
-    both = blocks.unionByName(dealt).repartition(n, "shard").sortWithinPartitions("shard", "asks", "query_id", "query_mark")
+    dealt = classes.select(F.col("ids")[0].alias("query_id"), "v", every_turn.alias("turn"), F.pmod("mark", F.lit(n)).cast("int").alias("shard"), F.lit(0).alias("asks"), F.col("mark").alias("query_mark"))
+    task = (F.col("shard") * turns + F.col("turn")).cast("int")
+    both = blocks.unionByName(dealt).select("query_id", "v", task.alias("task"), "asks", "query_mark").repartitionById(n * turns, "task").sortWithinPartitions("task", "asks", "query_id", "query_mark")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows of a shard come together, its points before its queries; queries pass in blocks."""
