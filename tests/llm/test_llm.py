@@ -636,6 +636,53 @@ def test_region_join_splits():
     assert [union.root(i) for i in range(len(sets))] == [plain.root(i) for i in range(len(sets))]
 
 
+CLASHES = "secrets _secrets low strong others weak clean copies _copies id gone key row of lam size rate shard h k n comp email ip card phone number address beside label score lang_pred held_out cls mark media feature _text _k Secrets2 N_CHARS2".split()
+
+
+def test_columns_that_clash(spark, odd):
+    """Columns with the names that operators use inside do no harm, and those that pass through keep their values."""
+    base = odd.select("doc_id", "text", "lang", "source", "n_chars")
+    wide = base.select("*", *(F.lit(f"v{i}").alias(c) for i, c in enumerate(CLASHES)))
+    want = {c: f"v{i}" for i, c in enumerate(CLASHES)}
+    for run in (secret_scan.redact, mixing.materialise, jaccard_join.representatives, lambda d: quality_mil.keep_mask(d, quality_mil.Model(None, 0.7))):
+        rows = run(wide).collect()
+        assert rows and rows[0].asDict().keys() == dict.fromkeys(wide.columns).keys()
+        assert all(r[c] == v for r in rows for c, v in want.items())
+    few = base.drop("n_chars").withColumn("_assign", F.lit(1))
+    assert secret_scan.redact(few).columns == few.columns and secret_scan.redact(few).count() == len(ODD)
+    for run in (lambda d: secret_scan.digest(secret_scan.scan(d)), lambda d: pii.digest(pii.detect(d)), lambda d: mixing.digest(mixing.entropy_mix(d)), jaccard_join.near_duplicates, avi.media_column, lambda d: packing.tokenised(d, Q.tokenizer_json())):
+        assert sorted(map(str, run(wide).collect())) == sorted(map(str, run(base).collect()))
+    pages = spark.createDataFrame([(1, "http://a.org:80/x", "s", "b")], "page_id int, url string, site string, by_site string")
+    got = url_filter.url_filter(url_filter.with_host_path(pages), spark.createDataFrame([("a.org", 1)] * 30, "host string, bad int")).first()
+    assert (got["site"], got["by_site"], got["host"], got["verdict"]) == ("s", "b", "a.org:80", "block")
+
+
+def test_sites():
+    import duckdb
+
+    hosts = {"a.b.co.uk": ("b.co.uk", "co.uk"), "co.uk": ("co.uk", "co.uk"), "x.org": ("x.org", "org"), "u@h.x.com.br:8080": ("x.com.br", "com.br"), "10.0.0.1:80": ("10.0.0.1", "ip"), "y.com.": ("y.com", "com"), "single": ("single", "single"), "": ("", "")}
+    for h, want in hosts.items():
+        site = Q._site_sql(f"'{h}'")
+        assert duckdb.connect().execute(f"SELECT {Q._domain_sql(f'({site})')}, {Q._suffix_sql(f'({site})')}").fetchone() == want
+
+
+def test_dense_and_long_texts_take_time_in_proportion(spark):
+    """Matches at every step, long runs that almost match, and long chains; four times the text takes nothing like
+    sixteen times the time."""
+    import time
+
+    secrets, private = (lambda d: secret_scan.digest(secret_scan.scan(d))), (lambda d: pii.digest(pii.detect(d)))
+    for text, run in (("token=abcdef " * 20_000, secrets), ("user=bobby pwd=hunter2222 " * 10_000, secrets), ("a" * 200_000 + "@", private), ("a.b@c.de " * 10_000, private), ("1" * 200_000, private), ("+1 (743) 555-3824, " * 5_000, private)):
+        one, four = (_timed(time, spark.createDataFrame([(1, text * n)], "doc_id long, text string"), run) for n in (1, 4))
+        assert four < 6 * one + 4, (text[:20], one, four)
+
+
+def _timed(time, df, run):
+    began = time.time()
+    run(df).collect()
+    return time.time() - began
+
+
 # 10 -----------------------------------------------------------------------------------------------
 
 
@@ -649,6 +696,46 @@ def test_avi_round_trip():
             assert struct.unpack_from("<I", media, 4)[0] == len(media) - 8
 
 
+def other_frame(samples, predictor):
+    """A lossless frame with a table of five-bit codes, one difference at a time."""
+    s, bits = samples.astype(int), ""
+    for y in range(s.shape[0]):
+        for x in range(s.shape[1]):
+            a, b, c = (s[y, x - 1] if x else 0), (s[y - 1, x] if y else 0), (s[y - 1, x - 1] if x and y else 0)
+            p = 128 if not x and not y else a if not y else b if not x else {1: a, 2: b, 3: c, 4: a + b - c, 5: a + ((b - c) >> 1), 6: b + ((a - c) >> 1), 7: (a + b) >> 1}[predictor]
+            d = int(s[y, x]) - int(p)
+            k = abs(d).bit_length()
+            bits += f"{k:05b}" + (f"{d if d > 0 else d + (1 << k) - 1:0{k}b}" if k else "")
+    data = int(bits.ljust(-(-len(bits) // 8) * 8, "1"), 2).to_bytes(-(-len(bits) // 8), "big").replace(b"\xff", b"\xff\x00")
+    table = b"\x00" + bytes(17 if n == 5 else 0 for n in range(1, 17)) + bytes(range(17))
+    frame = struct.pack(">HBHHBBBB", 11, 8, *s.shape, 1, 1, 0x11, 0)
+    return b"\xff\xd8\xff\xc4" + struct.pack(">H", 2 + len(table)) + table + b"\xff\xc3" + frame + b"\xff\xda" + struct.pack(">HBBBBBB", 8, 1, 1, 0, predictor, 0, 0) + data + b"\xff\xd9"
+
+
+def test_frames_of_other_tables_and_predictors():
+    rng = np.random.default_rng(6)
+    for predictor in range(1, 8):
+        samples = rng.integers(0, 256, (5, 7)).astype(np.uint8)
+        assert (avi.decode_frame(other_frame(samples, predictor)) == samples).all()
+
+
+def test_broken_media(spark):
+    media = avi.write_avi(bytes(range(64)) * 200)
+    frames, _ = avi.read_avi(media)
+    at = media.index(b"idx1")
+    wrong = media[: at + 16] + b"\x07" + media[at + 17 :]  # an offset that fits no chunk
+    assert all((a == b).all() for a, b in zip(avi.read_avi(wrong)[0], frames, strict=True))
+    assert len(avi.read_avi(media[:at])[0]) == len(frames)
+    scan = media.index(b"\xff\xda")
+    bad = [b"", b"RIFF", media[:40], media[: at - 900], media.replace(b"\xff\xc3", b"\xff\xc0"), media[: scan + 20] + media[scan + 40 :], b"x" * 500]
+    for m in bad:
+        with pytest.raises(avi.BrokenMedia):
+            avi.read_avi(m)
+    rows = avi.clip_rows(spark.createDataFrame([(i, m) for i, m in enumerate([media, None, *bad])], "doc_id int, media binary")).collect()
+    assert {r["doc_id"] for r in rows if r["error"]} == set(range(2, 2 + len(bad))) and all(r["clip"] is None for r in rows if r["error"])
+    assert [r["clip"] for r in rows if r["doc_id"] == 0] == [0]
+
+
 def test_avi(spark, odd):
     docs = docs_of(spark).select("doc_id", "text").unionByName(odd.select("doc_id", "text"))
     media = avi.media_column(docs, keep_media=True)

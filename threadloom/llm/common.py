@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 #: A word of a text: a run of anything but ASCII blanks.
 WORD = r"[^\x20\x09-\x0D]+"
-SCAN_BLOCK = 256
+SCAN_BLOCK = 64
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -34,14 +34,26 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+_staged: list[str] = []
+
+
 def stage(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Writes ``df`` as Parquet under the shared folder and reads it again: lineage ends there, and a lost
-    executor costs only the tasks that ran on it."""
+    executor costs only the tasks that ran on it. ``discard_staged`` takes such tables away."""
     path = f"{shared_dir(df.sparkSession)}/threadloom-{uuid.uuid4().hex}/{name}"
+    _staged.append(path)
     df.write.option("compression", codec).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard_staged(spark: SparkSession) -> None:
+    """Deletes every table that this process staged. To be called when the results that read them are written."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    while _staged:
+        path = hadoop.Path(_staged.pop().rsplit("/", 1)[0])
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 #: A table of numbers is broadcast up to so many rows; beyond it joins are shuffled.
 BROADCAST_ROWS = 1_000_000
 
@@ -133,17 +145,33 @@ def spans(text: Column, pattern: str) -> Column:
     return bound(hits, lambda hs: F.zip_with(hs, running(F.zip_with(F.slice(gaps, F.lit(1), F.size(hs)), hs, size), F.lit(0).cast("long"), lambda a, b: a + b), span))
 
 
+#: Code points of a piece of text that cuts are counted in.
+PIECE = 1024
+
+
+def pieces_of(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+
+
+def cut(pieces: Column, start: Column, end: Column) -> Column:
+    """Text of [start, end) from ``pieces_of`` it, each of ``PIECE`` code points; only those that it touches are read."""
+    i, j = F.floor(start / PIECE).cast("int"), F.floor((end - 1) / PIECE).cast("int")
+    first = F.substr(F.get(pieces, i), (start % PIECE + 1).cast("int"), F.least(end - start, F.lit(PIECE)).cast("int"))
+    last = F.substr(F.get(pieces, j), F.lit(1), (end - j * PIECE).cast("int"))
+    return F.when(end <= start, F.lit("")).when(i == j, first).otherwise(F.concat(first, F.array_join(F.slice(pieces, i + 2, j - i - 1), ""), last))
+
+
 FAR = 1 << 60
 
 
 def _folded(items: Column, value: Callable[[Column], dict[str, Column]], zero: int, op: Callable[..., Column]) -> Column:
-    """Running ``op`` over the numbers of ``value(item)``, by name."""
-    names = list(value(F.element_at(items, 1)))
-    return running(
-        F.transform(items, lambda x: F.struct(*(c.cast("long").alias(n) for n, c in value(x).items()))),
-        F.struct(*(F.lit(zero).cast("long").alias(n) for n in names)),
-        lambda a, b: F.struct(*(op(a[n], b[n]).alias(n) for n in names)),
-    )
+    """Running ``op`` over the numbers of ``value(item)``, by name; a scan for each, as numbers are cheap to copy."""
+    start = F.lit(zero).cast("long")
+
+    def one(name: str) -> Column:
+        return running(F.transform(items, lambda x: value(x)[name].cast("long")), start, op).alias(name)
+
+    return F.arrays_zip(*map(one, value(F.element_at(items, 1))))
 
 
 def with_sides(items: Column, before: Callable[[Column], dict[str, Column]], after: Callable[[Column], dict[str, Column]]) -> Column:

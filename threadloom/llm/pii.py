@@ -30,7 +30,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import FAR, fresh, joined, labelled, no_spans, spans, stage, with_sides
+from threadloom.llm.common import FAR, bound, cut, fresh, joined, labelled, no_spans, pieces_of, spans, stage, with_sides
 
 #: Fixed patterns of the base kinds, written so that long runs cost no more than their length: a match starts where a
 #: run does or the last match ended, and what is taken is not given back.
@@ -62,14 +62,14 @@ def digits_of(x: Column) -> Column:
     return F.regexp_replace(x, "[^0-9]", "")
 
 
-def _cue(t: Column, x: Column) -> Column:
-    before = F.substr(t, F.greatest(x["start"] - 23, F.lit(1)).cast("int"), F.least(x["start"], F.lit(24)).cast("int"))
+def _cue(pieces: Column, x: Column) -> Column:
+    before = cut(pieces, F.greatest(x["start"] - 24, F.lit(0)), x["start"])
     return before.rlike(r"(?i)tel|phone|call|fax|mail|contact|card|\bip\b|ssn")
 
 
-def _glued(t: Column, x: Column) -> Column:
-    beside = lambda at: F.substr(t, at.cast("int"), F.lit(1)).rlike("[A-Za-z0-9]")
-    return ((x["start"] > 0) & beside(F.greatest(x["start"], F.lit(1)))) | beside(x["end"] + 1)
+def _glued(pieces: Column, x: Column) -> Column:
+    beside = lambda at: F.coalesce(cut(pieces, at, at + 1).rlike("[A-Za-z0-9]"), F.lit(False))
+    return ((x["start"] > 0) & beside(F.greatest(x["start"] - 1, F.lit(0)))) | beside(x["end"])
 
 
 def _packed(tests: dict[str, Column]) -> Column:
@@ -79,25 +79,25 @@ def _packed(tests: dict[str, Column]) -> Column:
     return total
 
 
-def _number_bits(t: Column, x: Column) -> Column:
+def _number_bits(pieces: Column, x: Column) -> Column:
     seen = F.regexp_replace(x["hit"], COUNTRY, "")
     n, groups = F.length(digits_of(seen)), F.size(F.split(F.regexp_replace(seen, "^[^0-9]+", ""), "[^0-9]+"))
     return _packed({
-        "cue": _cue(t, x), "glued": _glued(t, x), "paren": seen.contains("("), "dash": seen.contains("-"), "dot": seen.contains("."), "space": seen.contains(" "),
+        "cue": _cue(pieces, x), "glued": _glued(pieces, x), "paren": seen.contains("("), "dash": seen.contains("-"), "dot": seen.contains("."), "space": seen.contains(" "),
         "few": n <= 8, "long": n >= 12, "two": groups == 2, "many": groups >= 4, "date": seen.rlike(DATE), "tail": seen.rlike("[^0-9][0-9]{4}$"),
     })
 
 
-def _address_bits(t: Column, x: Column) -> Column:
+def _address_bits(pieces: Column, x: Column) -> Column:
     last = F.regexp_extract(x["hit"], "([A-Za-z0-9-]+)$", 1)
-    return _packed({"cue": _cue(t, x), "glued": _glued(t, x), "at": F.lit(True), "top": last.rlike("^(?:[a-z]{2,}|[A-Z]{2,})$"), "short": F.length(last) <= 4})
+    return _packed({"cue": _cue(pieces, x), "glued": _glued(pieces, x), "at": F.lit(True), "top": last.rlike("^(?:[a-z]{2,}|[A-Z]{2,})$"), "short": F.length(last) <= 4})
 
 
-def _fails(t: Column, x: Column) -> Column:
+def _fails(pieces: Column, x: Column) -> Column:
     """That a number which is no base span is known to be none."""
     hit, n = x["hit"], F.length(digits_of(x["hit"]))
-    bare = ~hit.rlike("[^0-9]") & ~_cue(t, x)
-    return bare | hit.startswith("+") | hit.rlike(r"^[0-9]+(?:\.[0-9]+){3,}$") | (n > 19) | ((n >= 13) & ~luhn(digits_of(hit))) | _glued(t, x)
+    bare = ~hit.rlike("[^0-9]") & ~_cue(pieces, x)
+    return bare | hit.startswith("+") | hit.rlike(r"^[0-9]+(?:\.[0-9]+){3,}$") | (n > 19) | ((n >= 13) & ~luhn(digits_of(hit))) | _glued(pieces, x)
 
 
 def candidates(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
@@ -130,15 +130,16 @@ def candidates(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str =
     some = F.size(names["number"]) + F.size(names["address"]) > 0
     found = found.withColumn(names["beside"], F.when(some, F.filter(sides, lambda r: (r["x"]["rank"] > 0) & (is_base(r) | apart(r)))))
 
-    def rated(r: Column) -> Column:
+    def rated(pieces: Column, r: Column) -> Column:
         x, number = r["x"], r["x"]["rank"] == 1
-        bits = F.when(number, _number_bits(t, x)).otherwise(_address_bits(t, x))
-        label = F.when(is_base(r), F.lit(True)).when(F.when(number, _fails(t, x)).otherwise(_glued(t, x)), F.lit(False))
+        bits = F.when(number, _number_bits(pieces, x)).otherwise(_address_bits(pieces, x))
+        label = F.when(is_base(r), F.lit(True)).when(F.when(number, _fails(pieces, x)).otherwise(_glued(pieces, x)), F.lit(False))
         return F.struct(x["start"].alias("start"), x["end"].alias("end"), bits.alias("bits"), label.alias("label"))
 
+    proposed = bound(pieces_of(t), lambda pieces: F.transform(names["beside"], lambda r: rated(pieces, r)))
     none = F.array().cast("array<struct<start:bigint,end:bigint,bits:int,label:boolean>>")
     spans_only = lambda c: F.transform(c, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))
-    return found.select(*keep, *(spans_only(F.col(names[k])).alias(k) for k in KINDS), F.coalesce(F.transform(names["beside"], rated), none).alias("proposed"))
+    return found.select(*keep, *(spans_only(F.col(names[k])).alias(k) for k in KINDS), F.coalesce(F.when(F.size(names["beside"]) > 0, proposed), none).alias("proposed"))
 
 
 def boost(cells: list[tuple[int, int, int]], rounds: int = ROUNDS, rate: float = RATE) -> list[tuple[int, int, tuple[float, float, float, float]]]:

@@ -22,7 +22,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import bound, fresh, joined, labelled, nearest, no_spans, running, spans
+from threadloom.llm.common import bound, cut, fresh, joined, labelled, nearest, no_spans, pieces_of, running, spans
 
 #: Fixed patterns of the strong kinds. For the last two the least length is asked in the pattern: their matches are
 #: whole runs, so those that are long enough stay the same. A short assigned value still uses up its text.
@@ -92,18 +92,6 @@ def digest(scanned: DataFrame) -> DataFrame:
     return scanned.select("doc_id", *(count(k).alias(f"n_{k}") for k in KINDS[:STRONG]), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("secrets")).alias("spans"))
 
 
-#: Code points of a piece of text that cuts are counted in.
-PIECE = 1024
-
-
-def _cut(pieces: Column, start: Column, end: Column) -> Column:
-    """Text of [start, end) from its pieces of ``PIECE`` code points; only the pieces that it touches are read."""
-    i, j = F.floor(start / PIECE).cast("int"), F.floor((end - 1) / PIECE).cast("int")
-    first = F.substr(F.get(pieces, i), (start % PIECE + 1).cast("int"), F.least(end - start, F.lit(PIECE)).cast("int"))
-    last = F.substr(F.get(pieces, j), F.lit(1), (end - j * PIECE).cast("int"))
-    return F.when(end <= start, F.lit("")).when(i == j, first).otherwise(F.concat(first, F.array_join(F.slice(pieces, i + 2, j - i - 1), ""), last))
-
-
 def without(text: Column, found: Column, mark: str) -> Column:
     """``text`` with the spans of ``found`` (by start) replaced by ``mark``; spans that overlap share one."""
     end = F.char_length(text).cast("long")
@@ -113,12 +101,11 @@ def without(text: Column, found: Column, mark: str) -> Column:
     def whole(pieces: Column, rows: Column) -> Column:
         ends = running(F.transform(rows, lambda x: x["end"]), F.lit(0).cast("long"), F.greatest)
         before = F.concat(F.array(F.lit(0).cast("long")), F.slice(ends, F.lit(1), F.size(rows) - 1))
-        part = lambda x, b, i: F.when(i == F.size(rows), _cut(pieces, b, x["start"])).when(x["start"] >= b, F.concat(_cut(pieces, b, x["start"]), F.lit(mark))).otherwise(F.lit(""))
+        part = lambda x, b, i: F.when(i == F.size(rows), cut(pieces, b, x["start"])).when(x["start"] >= b, F.concat(cut(pieces, b, x["start"]), F.lit(mark))).otherwise(F.lit(""))
         zipped = F.arrays_zip(rows.alias("x"), before.alias("b"), F.sequence(F.lit(1), F.size(rows)).alias("i"))
         return F.array_join(F.transform(zipped, lambda r: part(r["x"], r["b"], r["i"])), "")
 
-    chunks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
-    return bound(chunks, lambda pieces: bound(slim, lambda rows: whole(pieces, rows)))
+    return bound(pieces_of(text), lambda pieces: bound(slim, lambda rows: whole(pieces, rows)))
 
 
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
