@@ -1,4 +1,11 @@
-"""A corpus from raw documents to packed sequences: each stage is one operator over all its predecessor kept."""
+"""A corpus from raw documents to packed sequences: each stage is one operator over all its predecessor kept.
+
+Defined results. Null and empty texts: scored by the classifier like any, kept by the join, left by the secret scan, of
+size 0 in the mix, packed as the end token. Very long texts are worked whole in every stage. Null ids pass every stage;
+the join leaves such rows. Repeated rows: the join leaves one; rows of one id with different texts are decided by
+themselves, in the mix together. Ties: the join keeps the smallest id, then the smallest set, then the first row by its
+JSON. Empty documents give empty tables. Extra columns pass the first four stages whatever their names.
+"""
 
 from __future__ import annotations
 
