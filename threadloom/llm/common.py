@@ -55,7 +55,7 @@ def discard_staged(spark: SparkSession) -> None:
 
 
 #: A table of numbers is broadcast up to so many rows; beyond it joins are shuffled.
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 200_000
 
 
 def even_join(big: DataFrame, small: DataFrame, key: str, how: str = "inner", most: int = 100_000) -> DataFrame:
