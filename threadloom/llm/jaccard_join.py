@@ -50,6 +50,8 @@ LEAF_BYTES, SPLITS = 1 << 20, 8
 CROWD = 64
 #: Shingles of more than ``HOT`` classes come last in prefixes, the ``HOT_MOST`` most frequent of them at most.
 HOT, HOT_MOST = 64, 200_000
+#: Ids of documents alone are broadcast up to so many, as the other way shuffles all texts.
+ID_ROWS = 1_000_000
 CHUNK, GROUP, LONGEST = 1 << 18, 1 << 18, 128
 #: A set of n has n / PART more hashes in its prefix, and needs about as many shared.
 PART = 16
@@ -390,7 +392,7 @@ def links(docs: DataFrame, size: int = WORDS) -> tuple[DataFrame, DataFrame]:
     one = rows.filter("n_shingles > 0").groupBy("k").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"))
     met = summed(shared_counts(_entries(docs, from_text, ["text"])))
     chosen = stage(one.join(met, "k").filter(_reaches("n", PART)).select("doc_id").filter("doc_id is not null"), "chosen")
-    few = chosen.count() <= BROADCAST_ROWS
+    few = chosen.count() <= ID_ROWS
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen) if few else chosen, "doc_id")
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -590,7 +592,7 @@ def representatives(docs: DataFrame, size: int = WORDS) -> DataFrame:
     # an id of one row is decided by id; the rows of others by their class too
     an_id, gone, key, one = fresh(docs, "id", "gone", "key", "row")
     decided = stage(marked.groupBy("doc_id").agg(F.max("goes").alias("goes"), F.count("*").alias("n")).filter("goes or n > 1").select(F.col("doc_id").alias(an_id), F.col("n").alias(gone)), "decided")
-    few = decided.count() <= BROADCAST_ROWS
+    few = decided.count() <= ID_ROWS
     same = F.col("doc_id") == F.col(an_id)
     once = docs.join(F.broadcast(decided) if few else decided, same, "left_anti")
     many = decided.filter(F.col(gone) > 1).select(an_id)
