@@ -11,9 +11,10 @@ features of the international one, and a spelt-out address those of the plain on
   or digit, or it is a bare run of digits with no cue before it;
 * undecided: the rest, which no base check can judge. Only they can be added, and they train nothing.
 
-Counts per (feature integer, label) over all documents are one partial aggregation with at most 2**len(BITS)
-groups, and the trees are boosted over those cells with their weights, so no row is sampled. The threshold
-is the lowest score whose cells reach ``PRECISION``. An undecided candidate is added where its cell scores so
+Counts per (half of the documents, feature integer, label) over all documents are one partial aggregation with at most
+2 * 2**len(BITS) groups. The trees are boosted over the cells of one half with their weights, so no row is sampled; the
+thresholds, one for numbers and one for addresses, are the lowest scores whose cells of the other half reach
+``PRECISION``. An undecided candidate is added where its cell scores so
 high, holds positives and reaches ``PRECISION`` itself; the cue may be there besides. What looks like no
 verified span of the same table is thus never added: without verified phones no number is.
 
@@ -182,23 +183,39 @@ def threshold_of(cells: list[tuple[int, int, int]], trees: list, precision: floa
     return found
 
 
-def accepted(cells: list[tuple[int, int, int]], precision: float = PRECISION) -> list[int]:
-    """Feature integers of the cells whose undecided candidates are added."""
-    trees = boost(cells) if any(p for _, p, _ in cells) else []
-    cut = threshold_of(cells, trees, precision) if trees else None
-    if cut is None:
-        return []
-    good = {b for b, p, n in cells if p and p >= precision * (p + n) and score_of(trees, b) >= cut}
-    bad = {b for b, _, n in cells if n} - good
-    return sorted(good | ({b | CUE for b in good} - bad))
+AT = 1 << BITS.index("at")
+
+
+def accepted(learned: list[tuple[int, int, int]], held: list[tuple[int, int, int]], precision: float = PRECISION) -> list[int]:
+    """Feature integers of the cells whose undecided candidates are added: trees are boosted on the cells of one half
+    of the documents, and thresholds, one for numbers and one for addresses, are set on those of the other."""
+    trees = boost(learned) if any(p for _, p, _ in learned) else []
+    out: set[int] = set()
+    for address in (False, True):
+        cells = [c for c in held if bool(c[0] & AT) == address]
+        cut = threshold_of(cells, trees, precision) if trees else None
+        if cut is not None:
+            known = {b: [p, n] for b, p, n in cells}
+            for b, p, n in learned:
+                if bool(b & AT) == address:
+                    both = known.setdefault(b, [0, 0])
+                    both[0] += p
+                    both[1] += n
+            good = {b for b, (p, n) in known.items() if p and p >= precision * (p + n) and score_of(trees, b) >= cut}
+            bad = {b for b, (_, n) in known.items() if n} - good
+            out |= good | ({b | CUE for b in good} - bad)
+    return sorted(out)
 
 
 def detect(docs: DataFrame) -> DataFrame:
     """doc_id and ``pii``: array<struct<start,rank,end,kind>>, base kinds first, then kind extra."""
     found = stage(candidates(docs), "pii_candidates")
-    known = found.select(F.explode("proposed").alias("x")).filter("x.label is not null")
-    counted = known.groupBy("x.bits").agg(F.sum(F.col("x.label").cast("long")).alias("pos"), F.count("*").alias("n"))
-    take = accepted([(r["bits"], r["pos"], r["n"] - r["pos"]) for r in counted.collect()])  # at most 2 ** len(BITS) rows
+    half = F.pmod(F.xxhash64("doc_id"), F.lit(2)).cast("int")
+    known = found.select(half.alias("half"), F.explode("proposed").alias("x")).filter("x.label is not null")
+    counted = known.groupBy("half", "x.bits").agg(F.sum(F.col("x.label").cast("long")).alias("pos"), F.count("*").alias("n"))
+    cells = counted.collect()  # at most 2 * 2 ** len(BITS) rows
+    of = lambda h: [(r["bits"], r["pos"], r["n"] - r["pos"]) for r in cells if r["half"] == h]
+    take = accepted(of(0), of(1))
     every = [labelled(F.col(k), k, i) for i, k in enumerate(KINDS)]
     if take:
         extra = F.filter("proposed", lambda x: x["label"].isNull() & x["bits"].isin(take))
