@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from threadloom.functions import codecs, dates, text
@@ -28,6 +29,9 @@ def test_files(spark, tmp_path):
     assert names(prefix=["t"]) == {"three.txt"} and names(prefix=["t"], any_case=True) == {"Two.jpg", "three.txt"}
     assert names(prefix=["o", "f"], suffix=[".gz"]) == {"one.tar.gz"} and names(regex=["^[a-z]+[.]par2$", "jpg"]) == {"four.par2", "Two.jpg"}
     assert names(min_depth=3) == {"Two.jpg", "three.txt"} and names(max_depth=1) == {"four.par2"}
+    later = lambda n: F.max("modified").over(Window.partitionBy(F.lit(1))) + F.expr(f"INTERVAL {n} SECONDS")
+    timed = rows.withColumn("now", later(100))
+    assert readers.quiet(timed, 50, F.col("now")).count() == 4 and readers.quiet(timed, 100_000, F.col("now")).count() == 0
     assert sorted(r["size"] for r in readers.folder_sizes(rows).collect()) == [1, 10, 25]
 
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from threadloom.functions.text import subject_parts, type_of_name
+from threadloom.functions.dates import DIRECTIVES
+from threadloom.functions.text import filled, size_text, subject_parts, type_of_name
 
 #: The order in which header keys are printed.
 PRINTED = ("Subject", "From", "Date", "Message-ID", "Lines", "Size", "Newsgroups", "Content-Type", "Mime-Version", "Content-Transfer-Encoding", "X-Newsposter")
@@ -35,6 +37,22 @@ def succeeded(code: Column, multiline: bool | None = None) -> Column:
     return F.floor(code / 200) == 1 if multiline is None else code.isin(*CODES["multiline" if multiline else "success"])
 
 
+def titled(template: str, index: Column, files: Column, at: Column, given: dict[str, Column] | None = None) -> Column:
+    """A subject of a post's file by a template. ``files``: array<struct<name,size>> of the post, ``index`` the file's
+    place from 1. Keys: the caller's, then count, index, totalsize, filename and filesize (of this file), filename001
+    and filesize001 and so on (of the file there). Unknown keys go; then directives of a date stand for ``at``."""
+    here = F.get(files, index - 1)
+    total = F.aggregate(files, F.lit(0).cast("long"), lambda acc, f: acc + f["size"])
+    values = dict(given or {}) | {k: v for k, v in (("count", F.size(files)), ("index", index), ("totalsize", size_text(total)), ("filename", here["name"]), ("filesize", size_text(here["size"]))) if k not in (given or {})}
+    for key in set(re.findall(r"\{\{file(?:name|size)[0-9]{3}\}\}", template)):
+        one = F.get(files, int(key[-5:-2]) - 1)
+        values[key[2:-2]] = F.coalesce(one["name"] if "name" in key else size_text(one["size"]), F.lit(""))
+    out = filled(F.lit(template), values)
+    for directive in set(re.findall("%[A-Za-z]", template)) & set(DIRECTIVES):
+        out = F.replace(out, F.lit(directive), F.date_format(at, DIRECTIVES[directive]))
+    return out
+
+
 def nuked(headers: Column) -> Column:
     """That a header says an article was taken away."""
     return F.exists(F.map_keys(headers), lambda k: k.rlike(r"(?i)^x-(?:dmca|removed|cancel(?:l?ed)?|blocked)"))

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from threadloom.functions import codecs, dates, text
 from threadloom.operators import catalog, posts, rules, scan
 from threadloom.plans.catalogue import articles, query, table
-from threadloom.sources import readers
+from threadloom.sources import readers, sinks
+from threadloom.streaming import ingest
 
 
 def literal(x: object) -> str:
@@ -459,3 +460,59 @@ def rule_file_lists(spark, sf_dir):
     scores, white, black = rules.compiled(rules.parse_lines(lines).collect())  # rule files are a few lines
     d = articles(spark, sf_dir).select(F.col("article_no").alias("doc_id"), "group", F.when(F.col("article_no") % 3 == 0, "three").otherwise("x").alias("subject"), F.when(F.col("article_no") % 4 != 0, "even").otherwise("y").alias("poster"))
     return rules.apply(d, scores, white, black).select("doc_id", "score")
+
+
+@query("SELECT n_name AS name, 'part ' || (n_nationkey % 3 + 1) || ' of 3: f' || (n_nationkey % 3) || '.bin (' || (n_nationkey % 3 + 1) || '.00KB of 6.00KB, first f0.bin) 2020-' || n_nationkey || ' x' AS title FROM nation")
+def post_titles(spark, sf_dir):
+    files = F.transform(F.sequence(F.lit(0), F.lit(2)), lambda i: F.struct(F.concat(F.lit("f"), i, F.lit(".bin")).alias("name"), ((i + 1) * 1024).cast("long").alias("size")))
+    title = posts.titled("part {{index}} of {{count}}: {{filename}} ({{filesize}} of {{totalsize}}, first {{filename001}}{{none}}) %Y-{{key}} x", F.col("n_nationkey") % 3 + 1, files, F.lit(dt.datetime(2020, 5, 6)), {"key": F.col("n_nationkey")})
+    return table(spark, sf_dir, "nation").select(F.col("n_name").alias("name"), title.alias("title"))
+
+
+@query("SELECT doc_id, '/' || lang || '/' || source || '/x' AS path FROM documents WHERE lang <> 'en' AND NOT (lang = 'fr' AND source = 'src1')")
+def path_containment(spark, sf_dir):
+    paths = table(spark, sf_dir, "documents").select("doc_id", F.concat_ws("/", F.lit(""), "lang", "source", F.lit("x")).alias("path"))
+    return catalog.outside(paths, ["/en", "/fr/src1/", "/d"])
+
+
+@query("SELECT doc_id, CAST(CASE WHEN n_chars % 100 > 50 THEN 1 ELSE 0 END + CASE WHEN doc_id % 3 + 1 < 3 THEN 10 ELSE 0 END + CASE WHEN starts_with(source, 'src1') AND suffix(source, '5') THEN 100 ELSE 0 END AS INTEGER) AS score FROM documents")
+def rule_lines_and_crossposts(spark, sf_dir):
+    groups = F.map_from_entries(F.transform(F.sequence(F.lit(0), (F.col("article_no") % 3).cast("int")), lambda i: F.struct(F.concat(F.lit("g"), i), i.cast("long"))))
+    d = articles(spark, sf_dir).withColumns({"lines": F.col("size") % 100, "xgroups": groups})
+    made = (rules.Rule(".*", {"lines_above": 50}, 1), rules.Rule(".*", {"crossposts_below": 3}, 10), rules.Rule(".*", {"poster_starts": "src1", "poster_ends": "5"}, 100), rules.Rule("none", {"crossposts_above": 0}, 1000))
+    return rules.apply(d, made).select(F.col("article_no").alias("doc_id"), "score")
+
+
+@query("""SELECT event_id AS article_no, event_type || CASE WHEN event_id % 5 = 0 THEN ' again' ELSE '' END AS subject, user_id || '' AS poster FROM events""")
+def stream_ingest(spark, sf_dir):
+    """Lines come in two files, some twice; the second run takes only what is new, and the newest row of an id stays."""
+    root = sinks.scratch_dir(spark)
+    line = lambda subject: F.concat_ws("\t", "event_id", subject, "user_id", F.lit("1 Jan 2020 00:00:00 +0000"), F.concat(F.lit("<"), "event_id", F.lit("@x>")), F.lit(""), F.lit("5"), F.lit("1"), F.lit("Xref: h"))
+    e = table(spark, sf_dir, "events")
+    run = lambda: ingest.ingest(spark, f"{root}/in", f"{root}/table", f"{root}/log", "g")
+    e.select(line("event_type").alias("value")).write.mode("append").text(f"{root}/in")
+    run()
+    e.filter("event_id % 5 = 0").select(line(F.concat("event_type", F.lit(" again"))).alias("value")).write.mode("append").text(f"{root}/in")
+    run()
+    run()
+    return ingest.articles(spark, f"{root}/table", "g").select("article_no", "subject", "poster")
+
+
+@query("""SELECT event_type AS key, ts AS at, CAST(floor(avg(floor(value * 100)) OVER (PARTITION BY event_type ORDER BY ts, value ROWS 19 PRECEDING)) AS BIGINT) AS rate FROM events""")
+def stream_sliding_mean(spark, sf_dir):
+    root = sinks.scratch_dir(spark)
+    kinds = table(spark, sf_dir, "events").schema
+    samples = spark.readStream.schema(kinds).parquet(f"{sf_dir}/event*.parquet").select(F.col("event_type").alias("key"), F.col("ts").cast("timestamp").alias("at"), F.floor(F.col("value") * 100).cast("double").alias("value"))
+    ingest.sliding_means(samples).writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/log").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{root}/out").select("key", F.col("at").cast("timestamp_ntz").alias("at"), F.floor("mean").alias("rate"))
+
+
+@query(f"SELECT o_orderkey AS id, posted IS NOT NULL OR o_orderkey % 2 = 0 AS posted, verified IS NOT NULL OR o_orderkey % 2 = 0 AS verified FROM ({STATES})")
+def stream_states(spark, sf_dir):
+    root = sinks.scratch_dir(spark)
+    now = states(spark, sf_dir).select(F.col("o_orderkey").alias("id"), *(F.col(c).cast("timestamp").alias(c) for c in ("staged", "posted", "verified")))
+    sinks.publish(now, f"{root}/states")
+    moved = now.filter("id % 2 = 0").select("id", F.explode(F.array(F.lit("posted"), F.lit("verified"))).alias("kind"), F.lit(dt.datetime(2030, 1, 1)).alias("at"))
+    moved.write.parquet(f"{root}/events")
+    ingest.follow_states(spark, spark.readStream.schema(moved.schema).parquet(f"{root}/events"), f"{root}/states", f"{root}/log")
+    return sinks.published(spark, f"{root}/states").select("id", *(F.col(c).isNotNull().alias(c) for c in ("posted", "verified")))

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from functools import reduce
 from operator import and_, or_
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadloom.functions.text import article_time, crosspost_group, crosspost_map, extension, header_key, stem, type_of_name
@@ -115,6 +115,12 @@ def found(rows: DataFrame, root: str, regex: Sequence[str] = (), prefix: Sequenc
     return rows.filter(cond & (depth >= min_depth) & (depth <= max_depth if max_depth is not None else F.lit(True)))
 
 
+def quiet(rows: DataFrame, seconds: int, now: Column | None = None) -> DataFrame:
+    """Rows of ``files`` that have not changed for so long, the oldest first."""
+    now = F.current_timestamp() if now is None else now
+    return rows.filter(F.col("modified") <= now - F.make_interval(secs=F.lit(float(seconds)))).orderBy("modified", "path")
+
+
 def folder_sizes(rows: DataFrame) -> DataFrame:
     """(folder, size, files): sums of the files right in each folder."""
     return rows.groupBy("folder").agg(F.sum("size").alias("size"), F.count("*").alias("files"))

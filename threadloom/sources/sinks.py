@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def scratch_dir(spark: SparkSession) -> str:
+    """A new folder name below ``spark.checkpoint.dir``; where that is unset, a local session takes a temporary one."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return f"{(shared or 'file://' + tempfile.gettempdir()).rstrip('/')}/scratch-{uuid.uuid4().hex}"
+
+
 def publish(table: DataFrame, root: str) -> str:
     """Writes a new version below ``root`` and then the pointer to it, so readers see the old table or the new one.
     Old versions stay, as readers may hold them."""
