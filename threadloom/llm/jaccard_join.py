@@ -138,11 +138,6 @@ def prefix_size(n: int, part: int = 0) -> int:
     return min(n, n - (n * NUM + DEN - 1) // DEN + (least_shared(n, part) if part else 1))
 
 
-def needed(n: int, part: int) -> int:
-    """The least count that a set of n may have in its prefix if a set of compatible size links with it."""
-    return least_shared((n * NUM + DEN - 1) // DEN, part)
-
-
 def _batch(names: list[str], columns: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names)
 
@@ -375,7 +370,7 @@ def _hashes(column: pa.Array, i: int) -> np.ndarray:
 
 
 def _reaches(n: str, part: int) -> Column:
-    """That ``shared`` is at least ``needed(n, part)``."""
+    """That ``shared`` is at least what a set of n has in its prefix if a set of compatible size links with it."""
     shorter = F.expr(f"({n} * {NUM} + {DEN - 1}) div {DEN}")
     return F.col("shared") >= F.greatest(F.lit(1), F.floor(shorter / F.lit(part)))
 
