@@ -828,3 +828,20 @@ def test_words_learned_at_once_have_the_ids_of_the_whole_text():
         words = packing.words_of(text)
         ids_of.learn(words)
         assert b"".join(ids_of[w] for w in words) == np.array(whole.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
+
+
+def test_lean_gives_memory_back(monkeypatch):
+    """Memory goes back after every batch and at the end, also of a task that stops early; results are the same."""
+    import pyarrow as pa
+
+    from threadloom.llm import common
+
+    freed = []
+    monkeypatch.setattr(common.pa, "default_memory_pool", lambda: type("Pool", (), {"release_unused": lambda self: freed.append(1)})())
+    batches = [pa.RecordBatch.from_arrays([pa.array([k, k])], ["x"]) for k in range(3)]
+    same = lambda given: (b for b in given)
+    assert list(common.lean(same)(iter(batches))) == batches and len(freed) == 4
+    some = common.lean(same)(iter(batches))
+    next(some)
+    some.close()
+    assert len(freed) == 6

@@ -93,6 +93,24 @@ def slices(batch: pa.RecordBatch, column: int, most: int, rows: int = 512) -> It
         at = end
 
 
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for mapInArrow, with the pool's unused memory given back after each batch and at the end of a task. Python
+    workers live on for later tasks and stages, and what their pools keep counts as the executor's memory."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def each() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                pa.default_memory_pool().release_unused()
+                yield batch
+
+        try:
+            yield from run(each())
+        finally:
+            pa.default_memory_pool().release_unused()
+
+    return wrapped
+
+
 def release(staged: DataFrame) -> None:
     """Frees the space of a staged table that nothing reads any more, by writing an empty one in its place."""
     path = staged.inputFiles()[0].rsplit("/", 1)[0] if staged.inputFiles() else None

@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from threadloom.llm.common import BROADCAST_ROWS, even_join, fresh, release, slices, spread_join, stage
+from threadloom.llm.common import BROADCAST_ROWS, even_join, fresh, lean, release, slices, spread_join, stage
 
 WORDS, NUM, DEN = 5, 3, 4  # five words; similarity of NUM / DEN or more
 LEAF, PIVOTS, NEAR = 128, 8, 0.5
@@ -153,7 +153,7 @@ def classes_of(docs: DataFrame, size: int) -> DataFrame:
                 k.append(set_key(s) if len(s) else None)
             yield _batch(["doc_id", "n_shingles", "k"], [batch.column(0), pa.array(n, pa.int64()), pa.array(k, pa.int64())])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, k long")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(run), "doc_id long, n_shingles long, k long")
 
 
 def _combined(h: np.ndarray, k: np.ndarray) -> pa.RecordBatch:
@@ -190,7 +190,7 @@ def _entries(source: DataFrame, hashes_of: Callable[[pa.RecordBatch], Iterator[t
         if held:
             yield _combined(np.concatenate(held), np.repeat(np.array(keys, np.int64), list(map(len, held))))
 
-    return source.select(*columns).mapInArrow(run, "h long, k long, c int")
+    return source.select(*columns).mapInArrow(lean(run), "h long, k long, c int")
 
 
 def _runs(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[list[np.ndarray]]:
@@ -235,7 +235,7 @@ def shared_counts(entries: DataFrame) -> DataFrame:
                 yield _batch(["k", "shared"], [u, np.bincount(inv, weights).astype(np.int64)])
 
     dealt = entries.repartition("h").sortWithinPartitions("h", "k", "c")
-    return dealt.mapInArrow(run, "k long, shared long")
+    return dealt.mapInArrow(lean(run), "k long, shared long")
 
 
 def summed(counts: DataFrame) -> DataFrame:
@@ -362,7 +362,7 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             yield batch.select(["k", "pivot"]).filter(pa.array(ok, pa.bool_()))
 
     both = even_join(stage(pairs, "asked"), b, "pivot", most=500).join(a, "k")
-    return both.select("k", "pivot", "x", "y").mapInArrow(run, "k long, pivot long")
+    return both.select("k", "pivot", "x", "y").mapInArrow(lean(run), "k long, pivot long")
 
 
 def _hashes(column: pa.Array, i: int) -> np.ndarray:
@@ -396,7 +396,7 @@ def links(docs: DataFrame, size: int = WORDS) -> tuple[DataFrame, DataFrame]:
                 found = [x for x in sets_of(part.column(1), size) if len(x)]
                 yield _batch(["k", "n", "hashes"], [pa.array([set_key(x) for x in found], pa.int64()), pa.array(list(map(len, found)), pa.int64()), pa.array([x.tobytes() for x in found], pa.binary())])
 
-    sets = stage(texts.select("doc_id", "text").mapInArrow(whole, "k long, n long, hashes binary"), "sets", "lz4")
+    sets = stage(texts.select("doc_id", "text").mapInArrow(lean(whole), "k long, n long, hashes binary"), "sets", "lz4")
 
     def from_sets(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
         for i, k in enumerate(batch.column(0).to_pylist()):
@@ -447,7 +447,7 @@ def prefixes(sets: DataFrame, often: np.ndarray) -> DataFrame:
                 yield _batch(["h", "k", "n", "comp"], [(np.concatenate(found) if found else np.empty(0, np.uint64)).view(np.int64), k, n, comp])
 
     comp = F.col("comp") if "comp" in sets.columns else F.col("k")
-    return stage(sets.select("k", "hashes", "n", comp.alias("comp")).mapInArrow(run, "h long, k long, n long, comp long"), "prefixes", "lz4")
+    return stage(sets.select("k", "hashes", "n", comp.alias("comp")).mapInArrow(lean(run), "h long, k long, n long, comp long"), "prefixes", "lz4")
 
 
 def nearest_pivots(heads: DataFrame) -> DataFrame:
@@ -479,7 +479,7 @@ def near_components(heads: DataFrame) -> DataFrame:
             yield _batch(["a", "b", "n", "met"], [*(rows[:, c].copy() for c in range(3)), counts.astype(np.int64)])
 
     short = held.join(runs.filter(F.col("c") <= CROWD).select("h"), "h").select("h", "comp", "n")  # CROWD rows of a shingle
-    dealt = short.repartition("h").sortWithinPartitions("h", "comp").mapInArrow(pairs, "a long, b long, n long, met long")
+    dealt = short.repartition("h").sortWithinPartitions("h", "comp").mapInArrow(lean(pairs), "a long, b long, n long, met long")
     near = dealt.groupBy("a", "b").agg(F.sum("met").alias("met"), F.min("n").alias("n")).filter(F.col("met") >= F.greatest(F.lit(1), F.floor(F.col("n") / F.lit(PART))))
     return near.select("a", "b").unionByName(crowd)
 
@@ -532,7 +532,7 @@ def _to_cells(rows: DataFrame) -> DataFrame:
                 columns = list(zip(*out, strict=True)) or [()] * len(kinds)
                 yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)], names)
 
-    return rows.select("region", "comp", "k", "n", "own", "hashes", F.col("bytes").alias("up"), "centres").mapInArrow(run, "region long, comp long, k long, n long, own boolean, hashes binary, up long")
+    return rows.select("region", "comp", "k", "n", "own", "hashes", F.col("bytes").alias("up"), "centres").mapInArrow(lean(run), "region long, comp long, k long, n long, own boolean, hashes binary, up long")
 
 
 def joined_leaves(leaves: DataFrame) -> DataFrame:
@@ -574,7 +574,7 @@ def keyed(docs: DataFrame, size: int, name: str) -> DataFrame:
             k = [set_key(s) if len(s) else None for s in sets_of(batch.column(batch.schema.get_field_index("text")), size)]
             yield _batch([*batch.schema.names, name], [*batch.columns, pa.array(k, pa.int64())])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, LongType())]))
+    return docs.mapInArrow(lean(run), StructType([*docs.schema.fields, StructField(name, LongType())]))
 
 
 def representatives(docs: DataFrame, size: int = WORDS) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import stage
+from threadloom.llm.common import lean, stage
 
 MAX_TOKENS, END_ID = 4096, 2
 #: Words kept per worker; beyond it the cache starts anew.
@@ -127,7 +127,7 @@ def tokenised(docs: DataFrame, tokenizer_json: str, end_id: int = END_ID) -> Dat
                     yield pa.RecordBatch.from_arrays([keys.slice(first, len(rows)), pa.array([part] * len(rows), pa.int32()), pa.array(starts, pa.int64()), pa.array(n, pa.int64()), pa.array(rows, pa.binary())], ["doc_id", "part", "local_start", "doc_tokens", "ids"])
                     first, rows, starts, held = i + 1, [], [], 0
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, part int, local_start long, doc_tokens long, ids binary")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(run), "doc_id long, part int, local_start long, doc_tokens long, ids binary")
 
 
 def concat_and_cut(docs: DataFrame, tokenizer_json: str, max_tokens: int = MAX_TOKENS, end_id: int = END_ID) -> DataFrame:
@@ -156,4 +156,4 @@ def concat_and_cut(docs: DataFrame, tokenizer_json: str, max_tokens: int = MAX_T
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
     rows = placed.select("doc_id", (F.col("base") + F.col("local_start")).alias("at"), "doc_tokens", "ids")
-    return rows.mapInArrow(cut, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return rows.mapInArrow(lean(cut), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")

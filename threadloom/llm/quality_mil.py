@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import slices
+from threadloom.llm.common import lean, slices
 from threadloom.llm.language_crf import held_out
 
 PASSAGE, TRAIN_DOCS, TRAIN_CHARS, HIDDEN, GATE, EPOCHS, RATE = 512, 3000, 30_000, 24, 12, 30, 0.01
@@ -165,7 +165,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
                 on = [int(a[at[i] : at[i + 1]].argmax()) for i in range(len(counts))]
                 yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(p, pa.float64()), pa.array(on, pa.int64()), pa.array(counts, pa.int64())], ["doc_id", "score", "attention_on", "n_passages"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double, attention_on long, n_passages long")
+    return docs.select("doc_id", "text").mapInArrow(lean(run), "doc_id long, score double, attention_on long, n_passages long")
 
 
 def keep_mask(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
@@ -178,7 +178,7 @@ def keep_mask(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
                 p, _, _ = model.score(part.column(at).to_pylist())
                 yield part.filter(pa.array(p >= least))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def quality(docs: DataFrame, labels: DataFrame, parts: int = 3, part: int = 1) -> DataFrame:
