@@ -216,3 +216,25 @@ def test_follow_states(spark, tmp_path):
 
     assert run((1, "verified", t(3)), (2, "verified", t(4)), (2, "posted", t(9))) == {1: (None, None), 2: (t(2), t(4))}
     assert run((1, "posted", t(5)), (3, "staged", t(6)))[1] == (t(5), None)
+
+
+def test_hexdump_any_length_and_width(spark):
+    """Against a plain form; a long content takes time by its length (4 MB took minutes)."""
+
+    def plain_dump(data, width):
+        out = []
+        for at in range(0, len(data), width):
+            part = data[at : at + width]
+            pairs = " ".join(f"{b:02x}" for b in part)
+            body = f"{pairs[:24]} {pairs[24:]}" if len(pairs) > 24 else pairs
+            out.append(f"{at:08x}:  {body[: width * 3]:<{width * 3}}  |{''.join(chr(b) if 32 <= b < 127 else '.' for b in part)}|")
+        return "\n".join(out)
+
+    data = bytes(range(256)) * 2
+    rows = [(n, data[n : 2 * n]) for n in range(41)]
+    df = spark.createDataFrame(rows, "n int, x binary")
+    for width in (4, 8, 9, 16, 20):
+        for r in df.select("x", text.hexdump(F.col("x"), width).alias("y")).collect():
+            assert r["y"] == plain_dump(bytes(r["x"]), width), (width, len(r["x"]))
+    long = spark.range(1).select(F.expr("repeat('0123456789abcdef', 65536)").cast("binary").alias("x"))
+    assert text and long.select(F.size(F.split(text.hexdump(F.col("x")), "\n")).alias("n")).first()["n"] == 65536

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -279,17 +279,39 @@ def article_time(text: Column) -> Column:
     return F.coalesce(*tries, F.timestamp_seconds(F.lit(0)))
 
 
-def hexdump(content: Column, width: int = 16) -> Column:
-    """Lines of offset, bytes in hex (a gap after the eighth) and signs, ``.`` for what does not print."""
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once, also where ``use`` puts it inside lambdas."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
 
-    def line(i: Column) -> Column:
-        part = F.substr(content, (i * width + 1).cast("int"), F.lit(width))
-        pairs = F.rtrim(F.regexp_replace(F.lower(F.hex(part)), "(..)", "$1 "))
-        body = F.when(F.length(pairs) > 24, F.concat(F.left(pairs, F.lit(24)), F.lit(" "), F.substr(pairs, F.lit(25)))).otherwise(pairs)
-        return F.concat(F.lpad(F.lower(F.hex(i * width)), 8, "0"), F.lit(":  "), F.rpad(body, width * 3, " "), F.lit("  |"), F.regexp_replace(F.decode(part, "ISO-8859-1"), r"[^\x20-\x7e]", "."), F.lit("|"))
+def hexdump(content: Column, width: int = 16) -> Column:
+    """Lines of offset, bytes in hex (a gap after the eighth) and signs, ``.`` for what does not print.
 
+    Digits and signs of the whole content are made at once; a line only cuts them, by bytes, so time grows with the
+    length."""
+    pairs = [f"${k}" for k in range(1, width + 1)]
+    full = " ".join(pairs[:8]) + " " + (" " + " ".join(pairs[8:]) if width > 8 else "")  # width * 3 signs
     n = F.ceil(F.octet_length(content) / F.lit(width))
-    return F.when(n > 0, F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), n - 1), line), "\n")).otherwise(F.when(content.isNotNull(), F.lit("")))
+    blank = F.lit(b"\x00" * width)  # fills the last line; cut off again there
+    filled_up = F.concat(content, F.substring(blank, 1, (n * width - F.octet_length(content)).cast("int")))
+    digits = F.regexp_replace(F.lower(F.hex(filled_up)), "(..)" * width, full).cast("binary")
+    signs = F.regexp_replace(F.decode(content, "ISO-8859-1"), r"[^\x20-\x7e]", ".").cast("binary")
+
+    def cut(raw: Column, at: Column, size: Column) -> Column:
+        return F.substr(raw, (at + 1).cast("int"), size.cast("int")).cast("string")
+
+    def lines(x: Column) -> Column:
+        size = F.octet_length(x["signs"])
+
+        def line(i: Column) -> Column:
+            left = F.least(F.lit(width), size - i * width)
+            # three signs a byte, and the gap once the ninth is there
+            body = F.when(left == width, cut(x["digits"], i * width * 3, F.lit(width * 3))).otherwise(F.rpad(cut(x["digits"], i * width * 3, left * 3 + F.when(left > 8, 1).otherwise(0)), width * 3, " "))
+            return F.concat(F.lpad(F.lower(F.hex(i * width)), 8, "0"), F.lit(":  "), body, F.lit("  |"), cut(x["signs"], i * width, F.lit(width)), F.lit("|"))
+
+        return F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), F.ceil(size / F.lit(width)) - 1), line), "\n")
+
+    return F.when(n > 0, once(F.struct(digits.alias("digits"), signs.alias("signs")), lines)).otherwise(F.when(content.isNotNull(), F.lit("")))
 
 
 def tidy_path(path: Column) -> Column:

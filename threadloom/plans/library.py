@@ -409,7 +409,8 @@ HEX_SQL = "rtrim(regexp_replace(lower(hex(substr(text, 1, 16))), '(..)', '\\1 ',
  FROM documents WHERE regexp_matches(text, '^[ -~]{{16}}')""")
 def hexdump_lines(spark, sf_dir):
     lines = F.split(text.hexdump(F.encode(F.col("text"), "UTF-8")), "\n")
-    return table(spark, sf_dir, "documents").filter(F.col("text").rlike("^[ -~]{16}")).select("doc_id", F.size(lines).cast("long").alias("lines"), F.get(lines, 0).alias("head"))
+    told = text.once(lines, lambda x: F.struct(F.size(x).cast("long").alias("lines"), F.get(x, F.lit(0)).alias("head")))
+    return table(spark, sf_dir, "documents").filter(F.col("text").rlike("^[ -~]{16}")).select("doc_id", told.alias("x")).select("doc_id", "x.*")
 
 
 @query("SELECT doc_id, CASE WHEN n_chars % 3 = 0 THEN true WHEN n_chars % 3 = 1 THEN false END AS truth, lang || '|' || source AS items, 'a' || doc_id || '@h' AS id FROM documents")
