@@ -219,7 +219,7 @@ def test_follow_states(spark, tmp_path):
 
 
 def test_hexdump_any_length_and_width(spark):
-    """Against a plain form; a long content takes time by its length (4 MB took minutes)."""
+    """Against a plain form; a long content takes time by its length."""
 
     def plain_dump(data, width):
         out = []
@@ -237,4 +237,15 @@ def test_hexdump_any_length_and_width(spark):
         for r in df.select("x", text.hexdump(F.col("x"), width).alias("y")).collect():
             assert r["y"] == plain_dump(bytes(r["x"]), width), (width, len(r["x"]))
     long = spark.range(1).select(F.expr("repeat('0123456789abcdef', 65536)").cast("binary").alias("x"))
-    assert text and long.select(F.size(F.split(text.hexdump(F.col("x")), "\n")).alias("n")).first()["n"] == 65536
+    assert long.select(F.size(F.split(text.hexdump(F.col("x")), "\n")).alias("n")).first()["n"] == 65536
+
+
+def test_crosspost_map_of_many_groups(spark):
+    """The last of equal groups stays, in its place; many groups take time by their number, not its square."""
+    given = "b:1 a:2 no b:3 c:x a:b:5 d:1z"
+    assert one(spark, text.crosspost_map, given) == {"b": 3, "c": 0, "a": 5, "d": 0}
+    assert one(spark, lambda c: F.map_keys(text.crosspost_map(c)), given) == ["b", "c", "a", "d"]
+    assert one(spark, text.crosspost_map, "") == {} and one(spark, text.crosspost_map, None) is None
+    many = spark.range(1).select(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(39999)), lambda i: F.concat(F.lit("g"), (i % 20000).cast("string"), F.lit(":"), i.cast("string"))), " ").alias("x"))
+    m = many.select(text.crosspost_map(F.col("x")).alias("m")).select(F.size("m").alias("n"), F.element_at("m", "g7").alias("v")).first()
+    assert tuple(m) == (20000, 20007)

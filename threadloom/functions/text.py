@@ -256,12 +256,31 @@ def filled(template: Column, values: Mapping[str, Column]) -> Column:
     return F.regexp_replace(out, r"\{\{[^}]*\}\}", "")
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once, also where ``use`` puts it inside lambdas."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def crosspost_map(text: Column) -> Column:
     """``group:no group:no`` as a map; a number that is none counts as 0; the last of equal groups stays."""
     pairs = F.filter(F.split(text, r"\s+"), lambda x: x.contains(":"))
-    entries = F.transform(pairs, lambda x: F.struct(F.substring_index(x, ":", 1), F.coalesce(F.substring_index(x, ":", -1).try_cast("long"), F.lit(0).cast("long"))))
-    last = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.greatest(F.size(entries) - i - 1, F.lit(0))), lambda o: o["col1"] == e["col1"]))
-    return F.map_from_entries(last)
+
+    def number(x: Column) -> Column:  # a cast that fails costs an exception, so texts without digits are told before
+        return F.when(x.rlike("[0-9]"), F.coalesce(x.try_cast("long"), F.lit(0).cast("long"))).otherwise(F.lit(0).cast("long"))
+
+    entries = F.transform(pairs, lambda x, i: F.struct(F.substring_index(x, ":", 1).alias("group"), i.alias("at"), number(F.substring_index(x, ":", -1)).alias("number")))
+
+    def last(found: Column) -> Column:
+        ordered = F.sort_array(found)  # equal groups side by side, the last of them at the end
+        kept = once(ordered, lambda es: F.filter(es, lambda e, i: ~F.coalesce(F.get(es, i + 1)["group"] == e["group"], F.lit(False))))
+        return F.transform(F.sort_array(F.transform(kept, lambda e: F.struct(e["at"].alias("at"), e["group"].alias("group"), e["number"].alias("number")))), lambda e: F.struct(e["group"].alias("group"), e["number"].alias("number")))
+
+    def unique(found: Column) -> Column:
+        groups = F.transform(found, lambda e: e["group"])
+        plain = F.transform(found, lambda e: F.struct(e["group"].alias("group"), e["number"].alias("number")))
+        return F.when(F.size(F.array_distinct(groups)) == F.size(found), plain).otherwise(last(found))
+
+    return F.map_from_entries(once(entries, unique))
 
 
 def crosspost_group(text: Column) -> Column:
@@ -279,11 +298,6 @@ def article_time(text: Column) -> Column:
     return F.coalesce(*tries, F.timestamp_seconds(F.lit(0)))
 
 
-def once(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use(value)`` with ``value`` computed once, also where ``use`` puts it inside lambdas."""
-    return F.element_at(F.transform(F.array(value), use), 1)
-
-
 def hexdump(content: Column, width: int = 16) -> Column:
     """Lines of offset, bytes in hex (a gap after the eighth) and signs, ``.`` for what does not print.
 
