@@ -249,3 +249,20 @@ def test_crosspost_map_of_many_groups(spark):
     many = spark.range(1).select(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(39999)), lambda i: F.concat(F.lit("g"), (i % 20000).cast("string"), F.lit(":"), i.cast("string"))), " ").alias("x"))
     m = many.select(text.crosspost_map(F.col("x")).alias("m")).select(F.size("m").alias("n"), F.element_at("m", "g7").alias("v")).first()
     assert tuple(m) == (20000, 20007)
+
+
+def test_codec_columns_hold_one_buffer(spark):
+    """Nulls, empty and odd values as before; beside the column itself no other values are held."""
+    import tracemalloc
+
+    rows = [(b"abc",), (None,), (b"",), (bytes(range(256)) * 9,)]
+    df = spark.createDataFrame(rows, "x binary")
+    for encode, decode, plain in ((codecs.yenc_encode, codecs.yenc_decode, codecs.yenc), (codecs.uu_encode, codecs.uu_decode, codecs.uu)):
+        got = df.select(encode("x").alias("e"), decode(encode("x")).alias("d"), decode(F.col("x")).alias("n")).collect()
+        assert [r["e"] for r in got] == [None if v is None else plain(v) for (v,) in rows] and [r["d"] for r in got] == [v for (v,) in rows]
+        assert [r["n"] for r in got] == [None] * 4
+    tracemalloc.start()
+    made = codecs.column_of((bytes(1 << 16) for _ in range(512)), 512)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert made.nbytes > 32 << 20 and most < 44 << 20  # a list of the values and the column were 64 MB
