@@ -266,3 +266,18 @@ def test_codec_columns_hold_one_buffer(spark):
     most = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert made.nbytes > 32 << 20 and most < 44 << 20  # a list of the values and the column were 64 MB
+
+
+def test_rules_by_table_move_no_articles(spark):
+    """A frequent group's articles stay where they are or are dealt; both give the same scores."""
+    rows = [("en", f"The {k}") for k in range(300)] + [("fr", "La"), ("fr", None), (None, "The"), ("xx", "The")]
+    arts = spark.createDataFrame(rows, "group string, subject string").withColumn("text", F.col("subject"))
+    table = spark.createDataFrame([("en", "The", 10), ("e.*", "the .*1", 2), ("(fr|es)", "La", 5)], "group_regex string, regex string, score int")
+    want = {("en", f"The {k}"): 12 if "1" in str(k) else 10 for k in range(300)} | {("fr", "La"): 5, (None, "The"): 0, ("xx", "The"): 0}
+    few, many = rules.by_table(arts, table), rules.by_table(arts, table, most=1)
+    for got in (few, many):
+        assert got.columns == ["group", "subject", "text", "score"]
+        scores = {(r["group"], r["subject"]): r["score"] for r in got.collect()}
+        assert scores.pop(("fr", None)) in (0, None) and scores == want
+    assert "SortMergeJoin" not in few._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(group" in many._jdf.queryExecution().executedPlan().toString()

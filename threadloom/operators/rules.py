@@ -95,11 +95,23 @@ def compiled(rows: Sequence[Row]) -> tuple[list[Rule], list[Rule], list[Rule]]:
     return lists["S"], lists["W"], lists["B"]
 
 
-def by_table(articles: DataFrame, rules: DataFrame) -> DataFrame:
+#: Groups with their rules are broadcast up to so many pairs of a group and a rule; beyond it a group's articles are dealt
+#: to so many tasks.
+FIT_ROWS, DEALT = 100_000, 64
+
+
+def by_table(articles: DataFrame, rules: DataFrame, most: int = FIT_ROWS) -> DataFrame:
     """Score by a rule table (group_regex, regex, score), for hundreds of rules: rules go by the groups they
-    fit first, a join of two small tables, then to articles by equality on the group."""
+    fit first, a join of two small tables, then to articles by equality on the group. Up to ``most`` pairs of
+    a group and a rule articles are not moved; beyond it they are dealt by group and subject, so those of a frequent
+    group don't meet in one task unless they have one subject."""
     groups = articles.select("group").distinct()
     fits = groups.join(rules, F.expr("group rlike concat('^(?:', group_regex, ')')"))
     by_group = fits.groupBy("group").agg(F.collect_list(F.struct("regex", "score")).alias("rules"))
     total = F.aggregate(F.coalesce("rules", F.array().cast("array<struct<regex:string,score:int>>")), F.lit(0), lambda acc, r: acc + F.when(F.rlike("subject", F.concat(F.lit("(?id)^(?:"), r["regex"], F.lit(")"))), r["score"]).otherwise(0))
-    return articles.join(by_group, "group", "left").withColumn("score", total).drop("rules")
+    if fits.limit(most + 1).count() <= most:
+        found = articles.join(F.broadcast(by_group), "group", "left")
+    else:
+        copies = by_group.withColumn("dealt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(DEALT - 1).cast("long"))))
+        found = articles.withColumn("dealt", F.pmod(F.xxhash64("subject"), F.lit(DEALT))).join(copies.hint("merge"), ["group", "dealt"], "left").drop("dealt")
+    return found.withColumn("score", total).drop("rules")
